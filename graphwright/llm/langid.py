@@ -37,6 +37,8 @@ ORDERS = 4
 DIMS = 1 << 15
 PER_LANGUAGE = 300
 LANDMARKS = 256
+#: Labels that are learned: the most frequent ones.
+LANGUAGES = 200
 RIDGE = 1.0
 UNKNOWN = "und"
 #: Bytes of text whose n-grams are hashed at a time.
@@ -134,9 +136,16 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from a bounded sample of the rows with a label outside the held-out fold."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_language)
-    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct())
+    sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if not sizes:
+        return fit_rows([], [])
+    # A hash threshold leaves about four times the sample of each language, whatever its size; the window only trims it.
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    below = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 40, (4 * per_language << 40) // n + 1))])
+    chosen = ids.where(draw < F.element_at(below, F.col("lang"))).distinct()
+    place = Window.partitionBy("lang").orderBy(draw, "doc_id")
+    chosen = chosen.withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_language)
+    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     texts = texts.join(chosen, (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("doc_id", "lang", "text")
 

@@ -7,17 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphwright.llm import langid, packing, secrets, simhash
+from graphwright.llm import langid, media, neardup_vectors, packing, secrets, sharding, simhash, toolcalls, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.features(_table(spark, sf_dir, "documents")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -26,19 +34,36 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op9_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link_calls(*toolcalls.turns_as_calls(_table(spark, sf_dir, "conversations")))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_media": op1_media,
         "op3_packing": op3_packing,
+        "op4_lattice": op4_lattice,
         "op5_language": op5_language,
         "op6_simhash": op6_simhash,
+        "op7_sharding": op7_sharding,
+        "op8_urls": op8_urls,
+        "op9_toolcalls": op9_toolcalls,
         "op10_secrets": op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """The operators hash, learn or search in ways that SQL cannot express; tests hold them against brute force."""
-    return {}
+    """Where SQL can express the operator; the others hash, learn or search, and tests hold them against brute force."""
+    return {"op8_urls": urlfilter.oracle_sql(), "op9_toolcalls": toolcalls.oracle_sql()}

@@ -37,6 +37,7 @@ from graphwright.llm.arrow import raw_texts, small_batches
 from graphwright.llm.blocks import blocked_rows, merge_labels, stream_blocks
 from graphwright.operators.components import contract_components
 from graphwright.plans.durable import durable
+from graphwright.plans.skew import attach
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -189,8 +190,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.join(least, "root").select("fp", "component_id")
     groups = classes.join(linked, "fp", "left").where("n > 1 or component_id is not null")
-    groups = groups.select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(groups, "fp", "left").select(
+    groups = durable(groups.select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "groups")
+    return attach(prints, groups, "fp", "n").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
