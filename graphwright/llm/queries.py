@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphwright.llm import langid, media, neardup_vectors, packing, secrets, sharding, simhash, toolcalls, urlfilter
+from graphwright.llm import langid, media, neardup_vectors, packing, secrets, segments, sharding, simhash, toolcalls, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.features(_table(spark, sf_dir, "documents")))
 
 
+def op2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.segmentation_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -53,6 +57,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
+        "op2_segments": op2_segments,
         "op3_packing": op3_packing,
         "op4_lattice": op4_lattice,
         "op5_language": op5_language,
