@@ -36,7 +36,7 @@ _NAME = re.compile(r"(?:[A-ZА-ЯÀ-Þ][\w'-]+)(?: [A-ZА-ЯÀ-Þ][\w'-]+)*")
 class RuleProvider:
     """Offline and deterministic: same record shapes as a model's answers.
 
-    Entities are capitalised words inside sentences; two entities of one sentence are
+    Entities are capitalised words, at the start of a sentence only long ones; two entities of one sentence are
     related; a summary is the first sentence with the most frequent long words.
     """
 
@@ -60,7 +60,7 @@ class RuleProvider:
         found: dict[str, dict[str, Any]] = {}
         for sentence in self._sentences(text):
             for m in _NAME.finditer(sentence):
-                if m.start() and m[0].lower() not in found:
+                if (m.start() or len(m[0]) > 5) and m[0].lower() not in found:
                     found[m[0].lower()] = {"name": m[0], "type": "Concept", "context": sentence, "confidence": 0.8, "attributes": {}}
         return {"entities": list(found.values())}
 

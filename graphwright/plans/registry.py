@@ -106,9 +106,9 @@ _graph("degree_centrality", lambda g: metrics.degree_centrality(g).select("id",
 _graph("topk_degree", lambda g: metrics.sort_by_metric(g, "degree", 10).select("id", _r("score")), f"{_ENDS}, d AS (SELECT id, sum(i + o) AS d FROM ends GROUP BY 1) SELECT ent.id, round(coalesce(d, 0) / ((SELECT count(*) FROM ent) - 1), 6) AS score FROM ent LEFT JOIN d ON ent.id = d.id ORDER BY coalesce(d, 0) DESC, ord LIMIT 10")
 _graph("topk_by_expression", lambda g: metrics.sort_by_metric(g, F.length("name") * F.col("confidence"), 10).select("id", _r("score")), "SELECT id, round(length(name) * confidence, 6) AS score FROM ent ORDER BY length(name) * confidence DESC, ord LIMIT 10")
 _CLUSTER = """, pair AS (SELECT least(s, t) AS a, greatest(s, t) AS b, count(*) AS w FROM edges WHERE s <> t GROUP BY 1, 2),
-both AS (SELECT a AS u, b AS v, w FROM pair UNION ALL SELECT b, a, w FROM pair),
-d AS (SELECT u, sum(w) AS d, count(*) FILTER (w = 2) AS m FROM both GROUP BY 1),
-tri AS (SELECT x.u, sum(x.w * y.w * z.w) / 2 AS t FROM both x JOIN both y ON x.v = y.u JOIN both z ON y.v = z.u AND z.v = x.u GROUP BY 1),
+way AS (SELECT a AS u, b AS v, w FROM pair UNION ALL SELECT b, a, w FROM pair),
+d AS (SELECT u, sum(w) AS d, count(*) FILTER (w = 2) AS m FROM way GROUP BY 1),
+tri AS (SELECT x.u, sum(x.w * y.w * z.w) / 2 AS t FROM way x JOIN way y ON x.v = y.u JOIN way z ON y.v = z.u AND z.v = x.u GROUP BY 1),
 score AS (SELECT ent.id, CASE WHEN tri.t IS NULL THEN 0 ELSE tri.t / (d.d * (d.d - 1) - 2 * m) END AS score FROM ent LEFT JOIN d ON ent.id = d.u LEFT JOIN tri ON ent.id = tri.u)"""
 _graph("clustering", lambda g: metrics.clustering(g).select("id", _r("score")), f"{_CLUSTER} SELECT id, round(score, 6) AS score FROM score")
 _LABELS = """RECURSIVE, lab(id, label) AS (SELECT id, id FROM ent UNION SELECT n.id, lab.label FROM lab JOIN
@@ -123,7 +123,7 @@ _graph("graph_stats", lambda g: metrics.stats(g).select("nodes", "edges", "relat
 def _pagerank_sql(rounds: int) -> str:
     out = ", k AS (SELECT s, count(*) AS k FROM edges GROUP BY 1), n AS (SELECT count(*) AS n FROM ent), p0 AS (SELECT id, 1.0::DOUBLE / n AS score FROM ent, n)"
     for i in range(1, rounds + 1):
-        out += f""", g{i} AS (SELECT t, sum(score / k) AS got FROM p{i - 1} JOIN edges ON id = s JOIN k ON k.s = edges.s GROUP BY 1),
+        out += f""", g{i} AS (SELECT t, sum(score / k) AS got FROM p{i - 1} p JOIN edges ON p.id = edges.s JOIN k ON k.s = edges.s GROUP BY 1),
 l{i} AS (SELECT coalesce(sum(score), 0) AS lost FROM p{i - 1} WHERE id NOT IN (SELECT s FROM k)),
 p{i} AS (SELECT ent.id, 0.85::DOUBLE * coalesce(got, 0) + 0.85::DOUBLE * lost / n + 0.15::DOUBLE / n AS score FROM ent LEFT JOIN g{i} ON ent.id = t, n, l{i})"""
     return out + f" SELECT id, round(score, 6) AS score FROM p{rounds}"
@@ -132,7 +132,7 @@ p{i} AS (SELECT ent.id, 0.85::DOUBLE * coalesce(got, 0) + 0.85::DOUBLE * lost /
 def _eigenvector_sql(rounds: int) -> str:
     out = ", p0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM ent) AS score FROM ent)"
     for i in range(1, rounds + 1):
-        out += f""", g{i} AS (SELECT t, sum(score) AS got FROM p{i - 1} JOIN edges ON id = s GROUP BY 1),
+        out += f""", g{i} AS (SELECT t, sum(score) AS got FROM p{i - 1} p JOIN edges ON p.id = edges.s GROUP BY 1),
 u{i} AS (SELECT p.id, score + coalesce(got, 0) AS score FROM p{i - 1} p LEFT JOIN g{i} ON p.id = t), p{i} AS (SELECT id, score / (SELECT sqrt(sum(score * score)) FROM u{i}) AS score FROM u{i})"""
     return out + f" SELECT id, round(score, 6) AS score FROM p{rounds}"
 
@@ -290,8 +290,8 @@ one AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p FROM
 SELECT doc_id, doc_id || '.' || i || '.' || k AS id, md5(ss[k]) AS h FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS k FROM sen)""")
 _text("segment_paragraphs", lambda d: segment.rule_segments(d.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))).where("level = 1").select("doc_id", "id", "start", "end", F.size("children_ids").alias("n")),
       f"""WITH para AS (SELECT doc_id::VARCHAR AS doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: {_trim('x')}), lambda x: x <> '') AS ps FROM documents),
-one AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p, ps FROM para), at AS (SELECT *, CASE WHEN i = 1 THEN 0 ELSE list_sum(list_transform(ps[1:i - 1], lambda x: length(x) + 2)) END AS start FROM one)
-SELECT doc_id, doc_id || '.' || i AS id, start::INTEGER AS start, (start + length(p))::INTEGER AS end, CASE WHEN length(p) > 200 THEN len({_SENT}) ELSE 0 END::INTEGER AS n FROM at""")
+one AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p, ps FROM para), spot AS (SELECT *, CASE WHEN i = 1 THEN 0 ELSE list_sum(list_transform(ps[1:i - 1], lambda x: length(x) + 2)) END AS start FROM one)
+SELECT doc_id, doc_id || '.' || i AS id, start::INTEGER AS start, (start + length(p))::INTEGER AS end, CASE WHEN length(p) > 200 THEN len({_SENT}) ELSE 0 END::INTEGER AS n FROM spot""")
 _text("segment_hierarchy", lambda d: segment.hierarchy(segment.rule_segments(d.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))))).groupBy("depth").agg(F.count(F.lit(1)).alias("n")), None)
 _text("extract_segments_pack", lambda d: segment.packed_segments(d.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))).select("doc_id", "id", "position", "length"),
       f"""WITH RECURSIVE para AS (SELECT doc_id::VARCHAR AS doc_id, list_filter(regexp_split_to_array({_normal('replace(text, chr(10), chr(10) || chr(10))')}, '\\n\\n+'), lambda x: trim(x) <> '') AS ps FROM documents),

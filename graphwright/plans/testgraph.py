@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphwright.operators.graph import KG, with_endpoints
+from graphwright.plans.durable import durable
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "lineitem", "events")
 
@@ -65,14 +66,34 @@ def _frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
 
+#: The graph's tables by application and folder: built once, then read like any stored graph.
+_LOADED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOADED:
+        _LOADED[key] = (durable(_build_entities(spark, sf_dir), "entities"), durable(_build_relationships(spark, sf_dir), "relationships"))
+    return _LOADED[key]
+
+
 def raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables(spark, sf_dir)[0]
+
+
+def raw_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All relationships, those to absent ids included."""
+    return _tables(spark, sf_dir)[1]
+
+
+def _build_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(ENTITIES_SQL, **{k: v for k, v in _frames(spark, sf_dir).items() if f"{{{k}}}" in ENTITIES_SQL})
     parts = [F.struct(F.lit(k).alias("key"), F.col(f"a_{k}").alias("value")) for k in ("brand", "kind", "segment", "size")]
     attributes = F.map_from_entries(F.filter(F.array(*parts), lambda e: e["value"].isNotNull()))
     return rows.select("id", "name", "entity_type", "context", attributes.alias("attributes"), F.create_map().cast("map<string,string>").alias("metadata"), "confidence", "ord")
 
 
-def raw_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(RELATIONSHIPS_SQL, **{k: v for k, v in _frames(spark, sf_dir).items() if f"{{{k}}}" in RELATIONSHIPS_SQL})
     empty = F.create_map().cast("map<string,string>")
     return rows.select(
