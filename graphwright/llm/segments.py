@@ -396,7 +396,7 @@ class Sampler:
                 heads.append((item[0], 0, None, item[3]))
                 continue
             d, sample, word, bound, seen = item
-            uniforms = iter_uniforms(seeds[d], rank, word)
+            uniforms = iter_uniforms(int(seeds[d]), rank, word)
             path, logp = self.lattice.walk_unseen(int(node[bounds[d] + word]), seen, uniforms)
             heads.append((d, word + 1, (sample, word, seen, path, logp), bound))
         sizes = np.array([bounds[d + 1] - bounds[d] - start for d, start, _, _ in heads], np.int64)
@@ -409,11 +409,15 @@ class Sampler:
         sample = np.full(len(word), rank)
         pieces, begin, logs = self.lattice.walk(node[bounds[doc] + word], seeds[doc], sample, word)
         u = _uniform(seeds[doc], sample, word, 1 << 41)
-        rest = _left_over(logs)
+        # A stretch's part is located at the probability of what stands before it times what the stretch leaves over.
+        total = np.concatenate([[0.0], np.cumsum(logs)])
+        ahead = [0.0 if h[2] is None else float(drawn[h[0]][h[2][0]].logs[: h[2][1]].sum()) + h[2][4] for h in heads]
+        location = np.repeat(np.array(ahead) - total[ends - sizes], sizes) + total[:-1] + _left_over(logs)
+        bounds_ = np.repeat(np.array([h[3] for h in heads]), sizes)
+        everything = _truncated(location, bounds_, u)
         for h, (d, start, head, bound) in enumerate(heads):
             a, b = ends[h] - sizes[h], ends[h]
             own = _Drawn(pieces[begin[a] : begin[b]], begin[a : b + 1] - begin[a], logs[a:b], bound)
-            before = 0.0
             if head is not None:
                 parent, at, seen, path, logp = drawn[d][head[0]], *head[1:]
                 before = float(parent.logs[:at].sum())
@@ -422,7 +426,6 @@ class Sampler:
                 if left > 1e-12:
                     v = _uniform(seeds[d : d + 1], rank, at, 1 << 42)
                     parts[d].append((float(_truncated(np.array([before + math.log(left)]), bound, v)[0]), len(drawn[d]), at, seen))
-                before += logp
                 cut = int(parent.begin[at])
                 own = _Drawn(
                     np.concatenate([parent.pieces[:cut], path, own.pieces]).astype(np.int32),
@@ -430,8 +433,7 @@ class Sampler:
                     np.concatenate([parent.logs[:at], [logp], own.logs]),
                     bound,
                 )
-            location = before + np.concatenate([[0.0], np.cumsum(logs[a:b])[:-1]])[: b - a] + rest[a:b]
-            values = _truncated(location, bound, u[a:b])
+            values = everything[a:b]
             # Only the parts that can still be drawn or set the threshold are kept.
             keep = min(self.samples - rank, len(values))
             for i in np.argpartition(-values, keep - 1)[:keep] if keep else ():
@@ -442,12 +444,20 @@ class Sampler:
             drawn[d].append(own)
 
 
-def iter_uniforms(seed: np.uint64, rank: int, word: int):
+def _mix_word(x: int) -> int:
+    """:func:`_mix` of one word, without an array."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _WORD
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _WORD
+    return x ^ (x >> 31)
+
+
+def iter_uniforms(seed: int, rank: int, word: int):
     """Uniform numbers for the pieces of one stretch."""
-    step = 0
+    base = _mix_word(_mix_word(seed + _GOLDEN * (rank + 1) & _WORD) + _GOLDEN * (word + 1) & _WORD)
+    step = 1 << 43
     while True:
-        yield float(_uniform(np.array([seed], np.uint64), rank, word, (1 << 43) + step)[0])
         step += 1
+        yield ((_mix_word(base + _GOLDEN * step & _WORD) >> 11) + 0.5) * 2.0**-53
 
 
 _OUT = "key long, sample int, ids array<long>, log_prob double, perturbed double, inclusion double, round_trip boolean"
