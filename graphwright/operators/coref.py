@@ -16,10 +16,14 @@ from graphwright.plans.durable import durable
 THRESHOLD = 0.7
 
 
-@F.pandas_udf("double")
-def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def name_ratio(a: Column, b: Column) -> Column:
     """``SequenceMatcher.ratio`` of two names (order matters)."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p, q).ratio() if p is not None and q is not None else None for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return ratio(a, b)
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

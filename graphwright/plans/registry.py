@@ -254,7 +254,6 @@ def _text(name: str, build: Callable[[DataFrame], DataFrame], sql: str | None) -
     _add(name, sql)(lambda spark, sf_dir: build(_docs(spark, sf_dir)))
 
 
-_T = F.col("text")
 _trim = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
@@ -263,13 +262,13 @@ def _normal(x: str) -> str:
     return _trim(f"array_to_string(list_transform(string_split({out}, chr(10)), lambda l: {_trim('l')}), chr(10))")
 
 
-_text("text_normalize", lambda d: d.select("doc_id", F.md5(text.normalize_text(_T)).alias("h")), f"SELECT doc_id, md5({_normal('text')}) AS h FROM documents")
-_text("text_normalize_loaded", lambda d: d.select("doc_id", F.md5(text.normalize_loaded(_T)).alias("h")), f"SELECT doc_id, md5({_trim(chr(39).join(['regexp_replace(text, ', chr(92) + 's+', ', ', ' ', ', ', 'g', ')']))}) AS h FROM documents")
+_text("text_normalize", lambda d: d.select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("h")), f"SELECT doc_id, md5({_normal('text')}) AS h FROM documents")
+_text("text_normalize_loaded", lambda d: d.select("doc_id", F.md5(text.normalize_loaded(F.col("text"))).alias("h")), f"SELECT doc_id, md5({_trim(chr(39).join(['regexp_replace(text, ', chr(92) + 's+', ', ', ' ', ', ', 'g', ')']))}) AS h FROM documents")
 _text("text_paragraphs", lambda d: d.select("doc_id", F.posexplode(text.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("i", "p")).select("doc_id", "i", F.md5("p").alias("h")),
       f"SELECT doc_id, (i - 1)::INTEGER AS i, md5(p[i]) AS h FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array({_normal('replace(text, chr(10), chr(10) || chr(10))')}, '\\n\\n+'), lambda x: trim(x) <> '') AS p FROM documents))")
-_text("text_truncate", lambda d: d.select("doc_id", text.truncate(_T, 80).alias("cut")), "SELECT doc_id, CASE WHEN length(text) <= 80 THEN text WHEN regexp_matches(left(text, 80), '(?s)^.+ ') THEN regexp_extract(left(text, 80), '(?s)^(.+) ', 1) || '...' ELSE left(text, 80) || '...' END AS cut FROM documents")
-_text("text_tokens", lambda d: d.select("doc_id", text.approximate_tokens(_T).alias("n")), f"SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE greatest(1, length({_trim('text')}) // 4) END::BIGINT AS n FROM documents")
-_text("text_split_point", lambda d: d.select("doc_id", text.best_split_point(_T, 500).alias("at")), None)
+_text("text_truncate", lambda d: d.select("doc_id", text.truncate(F.col("text"), 80).alias("cut")), "SELECT doc_id, CASE WHEN length(text) <= 80 THEN text WHEN regexp_matches(left(text, 80), '(?s)^.+ ') THEN regexp_extract(left(text, 80), '(?s)^(.+) ', 1) || '...' ELSE left(text, 80) || '...' END AS cut FROM documents")
+_text("text_tokens", lambda d: d.select("doc_id", text.approximate_tokens(F.col("text")).alias("n")), f"SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE greatest(1, length({_trim('text')}) // 4) END::BIGINT AS n FROM documents")
+_text("text_split_point", lambda d: d.select("doc_id", text.best_split_point(F.col("text"), 500).alias("at")), None)
 _MD = "'# ' || replace(text, ' the ', ' **the** [link](u) `c` ')"
 _md_sql = _MD
 for _p, _to in (("(?m)^#+\\s+", ""), ("\\*\\*(.*?)\\*\\*", "\\1"), ("\\*(.*?)\\*", "\\1"), ("__(.*?)__", "\\1"), ("_(.*?)_", "\\1"), ("```(?:[^`]*)\\n([\\s\\S]*?)\\n```", "\\1"), ("`([^`]*)`", "\\1"), ("\\[(.*?)\\]\\(.*?\\)", "\\1"), ("!\\[(.*?)\\]\\(.*?\\)", "\\1"), ("(?m)^-{3,}$", ""), ("(?m)^\\s*[-*+]\\s+", ""), ("(?m)^\\s*\\d+\\.\\s+", "")):
@@ -277,12 +276,12 @@ for _p, _to in (("(?m)^#+\\s+", ""), ("\\*\\*(.*?)\\*\\*", "\\1"), ("\\*(.*?)\\*
 _text("strip_markdown", lambda d: d.select("doc_id", F.md5(text.strip_markdown(F.concat(F.lit("# "), F.replace("text", F.lit(" the "), F.lit(" **the** [link](u) `c` "))))).alias("h")), f"SELECT doc_id, md5({_normal(_md_sql)}) AS h FROM documents")
 _markers = " OR ".join(f"contains(text, '{m}')" for m in text.CODE_MARKERS)
 _clean = "regexp_replace(text, '[\\s\\.,;:!?''\"()\\[\\]{}]', '', 'g')"
-_text("is_natural_language", lambda d: d.select("doc_id", text.is_natural_language(_T).alias("natural")),
+_text("is_natural_language", lambda d: d.select("doc_id", text.is_natural_language(F.col("text")).alias("natural")),
       f"SELECT doc_id, CASE WHEN text IS NULL OR length(text) < 10 OR {_markers} THEN false WHEN length({_clean}) > 0 AND length(regexp_replace({_clean}, '[\\p{{L}}\\p{{N}}]', '', 'g')) / length({_clean}) > 0.3 THEN false WHEN len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) = 0 THEN false ELSE regexp_matches(text, '[A-ZА-Я].*?[.!?]') AND list_avg(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w))) BETWEEN 3 AND 10 END AS natural FROM documents")
 _text("outermost_json", lambda d: d.select("doc_id", text.outermost_json(F.concat(F.lit("say {"), F.substring("text", 1, 20), F.lit("} end"))).alias("j")), "SELECT doc_id, regexp_extract('say {' || left(text, 20) || '} end', '(?s)\\{.*\\}', 0) AS j FROM documents")
 _text("language_names", lambda d: d.select("doc_id", language.language_name(F.upper("lang")).alias("name"), language.is_supported(F.col("lang")).alias("supported"), language.closest_supported(F.col("lang")).alias("closest")),
       "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'Français' WHEN 'de' THEN 'Deutsch' WHEN 'es' THEN 'Español' ELSE upper(lang) END AS name, lang IN ('ru', 'en') AS supported, 'en' AS closest FROM documents")
-_text("language_detect", lambda d: d.select("doc_id", language.detect_language(_T).alias("language")), None)
+_text("language_detect", lambda d: d.select("doc_id", language.detect_language(F.col("text")).alias("language")), None)
 _SENT = "list_filter(string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
 _text("segment_sentences", lambda d: segment.rule_segments(d.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))).where("level = 2").select("doc_id", "id", F.md5("text").alias("h")),
       f"""WITH para AS (SELECT doc_id::VARCHAR AS doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: {_trim('x')}), lambda x: x <> '') AS ps FROM documents),
@@ -298,7 +297,7 @@ _text("extract_segments_pack", lambda d: segment.packed_segments(d.withColumn("t
 fold(doc_id, ps, i, cur, pos, seg, done, dpos, dlen) AS (SELECT doc_id, ps, 0, 0, 0, 1, false, 0, 0 FROM para UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN full_ THEN l WHEN cur = 0 THEN l ELSE cur + 2 + l END, CASE WHEN full_ THEN pos + l + 2 ELSE pos END, CASE WHEN full_ THEN seg + 1 ELSE seg END, full_, pos, cur
   FROM (SELECT *, length(ps[i + 1]) AS l, cur + length(ps[i + 1]) + 2 > 1000 AND cur > 0 AS full_ FROM fold WHERE i < len(ps)))
 SELECT doc_id, 'seg_' || (seg - 1) AS id, dpos::INTEGER AS position, dlen::INTEGER AS length FROM fold WHERE done UNION ALL SELECT doc_id, 'seg_' || seg, pos::INTEGER, cur::INTEGER FROM fold WHERE i = len(ps) AND cur > 0""")
-_text("summary_cache_key", lambda d: d.select("doc_id", summarize.cache_key(_T, F.lit("document"), F.col("lang")).alias("key")), "SELECT doc_id, md5(concat_ws('|', text, 'document', lang)) AS key FROM documents")
+_text("summary_cache_key", lambda d: d.select("doc_id", summarize.cache_key(F.col("text"), F.lit("document"), F.col("lang")).alias("key")), "SELECT doc_id, md5(concat_ws('|', text, 'document', lang)) AS key FROM documents")
 
 
 @_add("summaries")
