@@ -32,6 +32,7 @@ import math
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,14 @@ def _uniform(seed: np.ndarray, *parts) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+class _Numbers(dict):
+    """Consecutive numbers of keys, given on first sight."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 class Lattice:
     """Lattices of stretches over one vocabulary, in shared arrays."""
 
@@ -104,13 +113,14 @@ class Lattice:
         self.longest = max(map(len, self.ids))
         self.unknown: dict[int, int] = {}  # character: place of its byte pieces
         self.spelt: list[tuple[int, ...]] = []  # byte pieces of unknown characters; piece is -2 - place
+        self.store = [np.empty(1 << 16), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32), np.empty(1 << 16)]
+        self.starts = np.zeros(1 << 16, np.int64)  # first edge of every node, and the end
         self.clear()
 
     def clear(self) -> None:
-        self.types: dict[str, int] = {}
+        """Forget all stretches; the arrays stay to be filled again."""
+        self.types, self.node_of = _Numbers(), np.zeros(0, np.int64)
         self.n_edges = self.n_nodes = 0
-        self.store = [np.empty(1 << 16), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32), np.empty(1 << 16)]
-        self.starts = np.zeros(1 << 16, np.int64)  # first edge of every node, and the end
 
     def _table(self, known: dict[str, int]) -> None:
         """Open-addressing table of the hashes of ``known`` strings (value: piece, -1 for a mere beginning)."""
@@ -233,19 +243,17 @@ class Lattice:
         """First nodes of the stretches."""
         if self.n_edges > STORE_EDGES:
             self.clear()
-        types = self.types
-        new = list({s: None for s in stretches if s not in types})
-        if new:
-            types.update(zip(new, self.add(new).tolist(), strict=True))
-        return np.fromiter(map(types.__getitem__, stretches), np.int64, len(stretches))
-
-    def walk(self, node: np.ndarray, seed: np.ndarray, sample: np.ndarray, word: np.ndarray):
-        """Sample every stretch: pieces in order, pieces a stretch, log-probability a stretch."""
+        known = len(self.types)
+        numbers = np.fromiter(map(self.types.__getitem__, stretches), np.int64, len(stretches))
+        if len(self.types) > known:
+            self.node_of = np.concatenate([self.node_of, self.add(list(islice(self.types, known, None)))])
+        return self.node_of[numbers]
+
+    def walk(self, node: np.ndarray, base: np.ndarray):
+        """Sample every stretch with its seed: pieces in order, pieces a stretch, log-probability a stretch."""
         cum, following, piece, logp, first = self.arrays
         logs, counts = np.zeros(len(node)), np.zeros(len(node), np.int64)
         live, at, who, what, step = np.arange(len(node)), node, [], [], 0
-        base = _mix(seed + np.uint64(_GOLDEN) * (sample.astype(np.uint64) + np.uint64(1)))
-        base = _mix(base + np.uint64(0xD1B54A32D192ED03) * (word.astype(np.uint64) + np.uint64(1)))
         while len(live):
             u = _uniform(base[live], step)
             edge = first[at]
@@ -406,9 +414,10 @@ class Sampler:
         owner = np.repeat(np.arange(len(heads)), sizes)
         doc = np.array([h[0] for h in heads])[owner]
         word = np.arange(ends[-1]) - (ends - sizes)[owner] + np.array([h[1] for h in heads])[owner]
-        sample = np.full(len(word), rank)
-        pieces, begin, logs = self.lattice.walk(node[bounds[doc] + word], seeds[doc], sample, word)
-        u = _uniform(seeds[doc], sample, word, 1 << 41)
+        base = _mix(seeds[doc] + np.uint64(_GOLDEN * (rank + 1) & _WORD))
+        base = _mix(base + np.uint64(0xD1B54A32D192ED03) * (word.astype(np.uint64) + np.uint64(1)))
+        pieces, begin, logs = self.lattice.walk(node[bounds[doc] + word], base)
+        u = _uniform(base, 1 << 41)
         # A stretch's part is located at the probability of what stands before it times what the stretch leaves over.
         total = np.concatenate([[0.0], np.cumsum(logs)])
         ahead = [0.0 if h[2] is None else float(drawn[h[0]][h[2][0]].logs[: h[2][1]].sum()) + h[2][4] for h in heads]
