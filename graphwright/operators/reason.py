@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphwright.operators import rules
 from graphwright.operators.graph import KG, latest
+from graphwright.operators.traverse import find_paths, path_steps
 
 _COLUMNS = [
     "type", "relation_type", "source_entity", "target_entity", "source_name", "target_name", "confidence", "paths_count",
@@ -134,3 +135,8 @@ def path_inferences(steps: DataFrame, strict: bool = False, prefix_only: bool =
         F.col("b").alias("target_entity"), F.lit(0.7).cast("double").alias("confidence"),
     )
     return found.unionByName(circular)
+
+
+def reason_over_path(kg: KG, source: str, target: str, max_depth: int = 5, strict: bool = False, prefix_only: bool = False) -> DataFrame:
+    """Inferences along the first paths from ``source`` to ``target``; no path gives no rows."""
+    return path_inferences(path_steps(kg, find_paths(kg, source, target, max_depth)), strict, prefix_only)

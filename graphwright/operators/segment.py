@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphwright.functions.text import normalize_text, pack_paragraphs, strip
+from graphwright.operators.provider import Provider
 from graphwright.schema import SEGMENTS, json_text
 
 #: Paragraphs longer than this are split into sentences.
@@ -116,26 +119,53 @@ def tree_json(segments: DataFrame, doc_id: str) -> str:
     return json_text(roots)
 
 
-def parse_segments(spark: SparkSession, answers: list[tuple[str, str]]) -> DataFrame:
-    """Segments out of nested model answers ``(doc_id, json)``; malformed answers give no rows."""
+def flatten_answer(doc: str, answer: str) -> list[tuple]:
+    """Rows of ``graphwright.schema.SEGMENTS`` out of one nested answer; none if it is malformed."""
     out: list[tuple] = []
 
-    def flatten(doc: str, node: dict[str, Any], parent_id: str | None, path: str, level: int, place: int) -> str:
+    def flatten(node: dict[str, Any], parent_id: str | None, path: str, level: int, place: int) -> str:
         kids = node.get("segments") or node.get("children") or []
         spot = node.get("position") or {}
-        ids = [flatten(doc, k, path, f"{path}.{i + 1}", level + 1, i + 1) for i, k in enumerate(kids) if isinstance(k, dict)]
+        ids = [flatten(k, path, f"{path}.{i + 1}", level + 1, i + 1) for i, k in enumerate(kids) if isinstance(k, dict)]
         out.append((doc, path, parent_id, level, place, node.get("type") or node.get("segment_type") or "segment", node.get("title"), node.get("text") or "", spot.get("start"), spot.get("end"), ids))
         return path
 
-    for doc, text in answers:
-        first, last = text.find("{"), text.rfind("}")
-        try:
-            node = json.loads(text[first : last + 1])
-        except ValueError:
-            continue
-        for i, top in enumerate(node.get("segments", [node])):
-            flatten(doc, top, None, f"{doc}.{i + 1}", 0, i + 1)
-    return spark.createDataFrame(out, SEGMENTS)
+    try:
+        node = json.loads(answer[answer.find("{") : answer.rfind("}") + 1])
+    except ValueError:
+        return out
+    for i, top in enumerate(node.get("segments", [node])):
+        flatten(top, None, f"{doc}.{i + 1}", 0, i + 1)
+    return out
+
+
+def parse_segments(spark: SparkSession, answers: list[tuple[str, str]]) -> DataFrame:
+    """Segments out of nested model answers ``(doc_id, json)``."""
+    return spark.createDataFrame([row for doc, answer in answers for row in flatten_answer(doc, answer)], SEGMENTS)
+
+
+def model_segments(docs: DataFrame, provider: Callable[[], Provider], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Segments by a model's nested answer, one call per document, one provider per partition.
+
+    An answer is ``{"segments": [{"type", "title", "text", "position", "segments"}]}``; ids
+    are paths, levels start at 0; documents with a malformed answer give no rows.
+    """
+    columns = [c.split()[0] for c in SEGMENTS.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = provider()
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, body in zip(batch["doc_id"], batch["text"], strict=True):
+                out += flatten_answer(doc, json.dumps(model.generate_json(body or "", {"task": "segments"})))
+            yield pd.DataFrame(out, columns=columns).astype({"start": "Int32", "end": "Int32"})
+
+    return docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SEGMENTS)
+
+
+def segment_text(docs: DataFrame, provider: Callable[[], Provider] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Segments by the given provider, or by rule."""
+    return model_segments(docs, provider, doc_id, text) if provider else rule_segments(docs, doc_id, text)
 
 
 def normalized(segments: DataFrame) -> DataFrame:

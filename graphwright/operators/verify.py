@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.functions.text import outermost_json
 from graphwright.operators import rules
+from graphwright.operators.provider import Provider
 from graphwright.operators.traverse import find_cycles
 from graphwright.plans.durable import durable
 from graphwright.schema import ISSUES
@@ -129,3 +134,21 @@ def relationship_lines(entities: DataFrame, relationships: DataFrame) -> DataFra
     for c, n in (("source_entity", "source_name"), ("target_entity", "target_name")):
         rows = rows.join(entities.select(F.col("id").alias(c), F.col("name").alias(n)), c)
     return rows.select("id", "ord", F.concat(F.lit("- ["), "id", F.lit("] "), "source_name", F.lit(" --"), "relation_type", F.lit("--> "), "target_name").alias("line"))
+
+
+def verify_with_model(entities: DataFrame, relationships: DataFrame, provider: Callable[[], Provider], lines: int = 200) -> DataFrame:
+    """Issues that a model finds in blocks of about ``lines`` relationships and the entities they name.
+
+    The rules of :func:`verify` do not depend on it; a provider's failure fails this
+    pass alone.
+    """
+    texts = relationship_lines(entities, relationships)
+    blocks = F.greatest(F.lit(1), F.ceil(F.lit(relationships.count()) / lines)).cast("int")
+    prompts = texts.groupBy(F.pmod(F.xxhash64("id"), blocks).alias("block")).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("prompt"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = provider()
+        for batch in batches:
+            yield pd.DataFrame({"answer": [json.dumps(model.generate_json(p, {"task": "verify"})) for p in batch["prompt"]]})
+
+    return parse_issues(prompts.select("prompt").mapInPandas(run, "answer string"))

@@ -228,3 +228,17 @@ def test_values_and_settings(monkeypatch):
     timer = Timer()
     timer.timed(lambda: None)()
     assert list(timer.seconds.values())[0] >= 0
+
+
+def test_model_passes(spark):
+    from graphwright.operators import reason, verify
+    from graphwright.plans.demo import sample_graph
+
+    answer = {"segments": [{"type": "section", "text": "a", "segments": [{"text": "b", "position": {"start": 1, "end": 2}}]}]}
+    rows = segment.segment_text(spark.createDataFrame([(1, "x")], "doc_id long, text string"), lambda: ScriptedProvider(lambda p, s: answer)).collect()
+    assert {(r.id, r.parent_id, r.start) for r in rows} == {("1.1", None, None), ("1.1.1", "1.1", 1)}
+    kg = sample_graph(spark)
+    found = verify.verify_with_model(kg.nodes, kg.rels, lambda: ScriptedProvider(lambda p, s: {"issue_type": "odd", "severity": "low"} if "knows" in p else {}))
+    assert [(r.issue_type, r.severity) for r in found.collect()] == [("odd", "low")]
+    assert [(r.relation_type, r.target_entity) for r in reason.reason_over_path(kg, "ann", "maps").collect()] == [("qualified-for", "maps")]
+    assert reason.reason_over_path(kg, "maps", "ann").count() == 0 and "Ann" in viz.to_html(kg)
