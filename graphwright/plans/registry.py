@@ -7,6 +7,7 @@ Every query runs over its whole tables.  Graph queries use the graph of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from graphwright.functions import language, text
 from graphwright.operators import conflicts, coref, extract, metrics, query, reason, registry, segment, summarize, traverse, verify, viz
 from graphwright.operators.graph import KG, reverse
+from graphwright.plans.durable import shared_dir
 from graphwright.plans.testgraph import oracle, raw_entities, raw_relationships, test_graph
-from graphwright.schema import entity_frame
+from graphwright.schema import entity_frame, validate_entities, validate_relationships
 from graphwright.sources import graph_io
+from graphwright.sources.store import GraphStore
 from graphwright.streaming import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -338,6 +341,103 @@ _add("activity_edges", "SELECT date_trunc('hour', ts) AS window_start, 'u' || us
 )
 
 
+# --- storage, validation, parsing and formatting ----------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/graphwright/store-{uuid.uuid4().hex}"
+
+
+def _stored(build: Callable[[GraphStore, KG], DataFrame]) -> Callable[[KG], DataFrame]:
+    """A query over a store that holds two versions of the places graph."""
+
+    def run(g: KG) -> DataFrame:
+        kept = GraphStore(g.entities.sparkSession, _folder(g.entities.sparkSession))
+        first = kept.save(g, "places and more")
+        kept.save(g.remove_entities(["r0"]), "places and more", "without one region")
+        kept.describe("places and more", first, "all")
+        return build(kept, g)
+
+    return run
+
+
+_graph("store_list_graphs", _stored(lambda st, g: st.list_graphs().select("graph", "versions", "entity_count", "relationship_count")),
+       "SELECT 'places_and_more' AS graph, 2::BIGINT AS versions, (SELECT count(*) FROM ent WHERE id <> 'r0') AS entity_count, (SELECT count(*) FROM rel WHERE source_entity <> 'r0' AND target_entity <> 'r0') AS relationship_count", _PLACES, _PLACE_TYPES)
+_graph("store_list_versions", _stored(lambda st, g: st.list_versions("places and more").select("entity_count", "relationship_count", "description")),
+       "SELECT count(*) AS entity_count, (SELECT count(*) FROM rel) AS relationship_count, 'all' AS description FROM ent UNION ALL SELECT (SELECT count(*) FROM ent WHERE id <> 'r0'), (SELECT count(*) FROM rel WHERE source_entity <> 'r0' AND target_entity <> 'r0'), 'without one region'", _PLACES, _PLACE_TYPES)
+_graph("store_load_current", _stored(lambda st, g: st.load("places and more").rels.select(*_REL)), "SELECT id, source_entity, target_entity, relation_type FROM rel WHERE source_entity <> 'r0' AND target_entity <> 'r0'", _PLACES, _PLACE_TYPES)
+_graph("store_load_version", _stored(lambda st, g: st.load("places and more", st.list_versions("places and more").collect()[-1]["version_id"]).nodes.select("id", "name", _r("confidence"))), "SELECT id, name, round(confidence, 6) AS confidence FROM ent", _PLACES, _PLACE_TYPES)
+
+
+def _through(format: str, read: str) -> Callable[[KG], KG]:
+    def run(g: KG) -> KG:
+        path = _folder(g.entities.sparkSession)
+        graph_io.export(g, path, format)
+        return graph_io.import_graph(g.entities.sparkSession, path, read)
+
+    return run
+
+
+_graph("json_lines_round_trip", lambda g: _through("json", "jsonl")(g).nodes.select("id", "name", F.element_at("attributes", "brand").alias("brand"), _r("confidence")), "SELECT id, name, a_brand AS brand, round(confidence, 6) AS confidence FROM ent")
+_graph("graphml_round_trip", lambda g: _through("graphml", "graphml")(g).rels.select(*_REL, _r("confidence")), "SELECT id, source_entity, target_entity, relation_type, round(confidence, 6) AS confidence FROM rel", _PLACES, _PLACE_TYPES)
+_graph("graphml_round_trip_entities", lambda g: _through("graphml", "graphml")(g).nodes.select("id", "name", "entity_type", F.element_at("attributes", "size").alias("size")), "SELECT id, name, entity_type, a_size AS size FROM ent", ["part-of"], ["Part"])
+_graph("from_registries", lambda g: graph_io.from_registries(g.entities, g.relationships).rels.select("id"), "SELECT id FROM rel")
+_add("from_extraction", "SELECT 'e' || r_regionkey AS id, r_name AS name, 'Region' AS entity_type FROM region")(
+    lambda spark, sf_dir: graph_io.from_extraction(
+        spark, {"entities": [{"name": r.r_name, "type": "Region"} for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()]}
+    ).nodes.select("id", "name", "entity_type")
+)
+_graph("validate_entities", lambda g: validate_entities(g.nodes.withColumn("confidence", F.col("confidence") + 0.2).withColumn("name", F.when(F.col("id").startswith("b"), "").otherwise(F.col("name"))))[1].select("id", "reason"),
+       "SELECT id, CASE WHEN id LIKE 'b%' THEN 'empty name' ELSE 'confidence outside [0, 1]' END AS reason FROM ent WHERE id LIKE 'b%' OR confidence + 0.2::DOUBLE > 1")
+_graph("validate_relationships", lambda g: validate_relationships(g.rels.withColumn("strength", F.col("strength") + 0.2))[0].select("id"), "SELECT id FROM rel WHERE strength + 0.2::DOUBLE <= 1")
+_graph("verify_is_valid", lambda g: verify.is_valid(verify.verify(g.nodes, g.rels)), "SELECT true AS is_valid, 0::BIGINT AS issues", ["supplies"])
+_graph("entity_lines", lambda g: verify.entity_lines(g.nodes).select("line"), "SELECT '- [' || id || '] ' || name || ' (' || entity_type || ')' AS line FROM ent")
+_graph("relationship_lines", lambda g: verify.relationship_lines(g.nodes, g.rels).select("line"), "SELECT '- [' || rel.id || '] ' || a.name || ' --' || relation_type || '--> ' || b.name AS line FROM rel JOIN ent a ON a.id = source_entity JOIN ent b ON b.id = target_entity")
+_graph("strongest_per_pair", lambda g: conflicts.strongest_per_pair(g).select("id", "source_entity", "target_entity"), "SELECT id, source_entity, target_entity FROM (SELECT *, row_number() OVER (PARTITION BY source_entity, target_entity ORDER BY confidence DESC, ord) AS n FROM rel) WHERE n = 1")
+_graph("id_map", lambda g: registry.id_map(g.nodes).select("old_id", "new_id"), "SELECT id AS old_id, first_value(id) OVER (PARTITION BY trim(lower(name)), entity_type ORDER BY ord) AS new_id FROM ent")
+_graph("repoint", lambda g: registry.repoint(g.rels, registry.id_map(g.nodes)).select("id", "source_entity", "target_entity"),
+       ", m AS (SELECT id AS old, first_value(id) OVER (PARTITION BY trim(lower(name)), entity_type ORDER BY ord) AS new FROM ent) SELECT rel.id, a.new AS source_entity, b.new AS target_entity FROM rel JOIN m a ON a.old = source_entity JOIN m b ON b.old = target_entity")
+_graph("registry_add_relationships", lambda g: registry.add_relationships(g.rels, g.rels.where("relation_type = 'is-a'").withColumns({"relation_type": F.lit("kind-of"), "ord": F.col("ord") + 1})).select("id", "relation_type"),
+       "SELECT id, CASE relation_type WHEN 'is-a' THEN 'kind-of' ELSE relation_type END AS relation_type FROM rel")
+
+
+@_add("resolve_names", "SELECT 'r:s:' || n_nationkey AS id, 'n' || n_nationkey AS source_entity, 'r' || n_regionkey AS target_entity, 'related_to' AS relation_type, false AS bidirectional, 1.0::DOUBLE AS confidence FROM nation")
+def _resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = spark.read.parquet(f"{sf_dir}/nation.parquet").join(spark.read.parquet(f"{sf_dir}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+    null = lambda kind: F.lit(None).cast(kind)
+    raw = places.select(
+        F.lit("s").alias("segment_id"), F.col("n_nationkey").cast("int").alias("place"), F.lower("n_name").alias("source_name"), "r_name", null("string").alias("relation_type"), null("string").alias("context"),
+        null("boolean").alias("bidirectional"), null("double").alias("strength"), null("double").alias("confidence"),
+    ).withColumnRenamed("r_name", "target_name")
+    known = raw_entities(spark, sf_dir).where("entity_type in ('Nation', 'Region')")
+    return extract.resolve_names(raw, known).select("id", "source_entity", "target_entity", "relation_type", "bidirectional", "confidence")
+
+
+@_add("entity_rows", "SELECT 'e:' || item_id || ':0' AS id, left(text, 9) AS name, coalesce(CASE WHEN item_id % 3 = 0 THEN 0.5::DOUBLE END, 1.0::DOUBLE) AS confidence FROM benchmark WHERE item_id % 4 <> 0")
+def _entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    raw = rows.select(
+        F.col("item_id").cast("string").alias("segment_id"), F.lit(0).alias("place"), F.substring("text", 1, 9).alias("name"), F.when(F.col("item_id") % 4 != 0, "Item").alias("entity_type"),
+        F.lit(None).cast("string").alias("context"), F.lit(None).cast("map<string,string>").alias("attributes"), F.when(F.col("item_id") % 3 == 0, 0.5).cast("double").alias("confidence"),
+    )
+    return extract.entity_rows(raw).select("id", "name", "confidence")
+
+
+@_add("parse_issues", "SELECT 'kind' || item_id % 3 AS issue_type, CASE item_id % 2 WHEN 0 THEN 'critical' ELSE 'medium' END AS severity, count(*) AS n FROM benchmark WHERE item_id % 5 <> 0 GROUP BY 1, 2")
+def _parse_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    body = F.concat(F.lit('found [{"issue_type": "kind'), (F.col("item_id") % 3).cast("string"), F.lit('", "severity": "'), F.when(F.col("item_id") % 2 == 0, "Critical").otherwise("unclear"), F.lit('"}] end'))
+    answers = rows.select(F.when(F.col("item_id") % 5 == 0, "no issue").otherwise(body).alias("answer"))
+    return verify.parse_issues(answers).groupBy("issue_type", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LINES = lambda d: d.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+_PARAS = f"""WITH para AS (SELECT doc_id::VARCHAR AS doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: {_trim('x')}), lambda x: x <> '') AS ps FROM documents)"""
+_text("segment_children", lambda d: segment.children(segment.rule_segments(_LINES(d)), "3").select("id", F.md5("text").alias("h")), f"{_PARAS} SELECT '3.' || i AS id, md5(ps[i]) AS h FROM (SELECT ps, unnest(range(1, len(ps) + 1)) AS i FROM para WHERE doc_id = '3')")
+_text("segment_parent", lambda d: segment.parent(segment.rule_segments(_LINES(d)), "3.1").select("id", "segment_type"), f"{_PARAS} SELECT doc_id AS id, 'document' AS segment_type FROM para WHERE doc_id = '3' AND len(ps) > 0")
+_text("summaries_wanted", lambda d: d.where(F.length(text.strip(F.col("text"))) >= summarize.LEAST_CHARS).select("doc_id"), f"SELECT doc_id FROM documents WHERE length({_trim('text')}) >= 10")
+
+
 def queries() -> dict[str, Query]:
     """Name to query."""
     return dict(_QUERIES)
