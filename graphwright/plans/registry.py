@@ -27,9 +27,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
-#: Parts of the graph that path and distance queries run on; the rest has no edges of these types.
+#: Relation types whose edges all-pairs queries follow (all entities take part).
 _PLACES = ["part-of", "part_of", "contains"]
-_PLACE_TYPES = ["Region", "Nation", "Supplier"]
 
 
 def _add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -119,6 +118,8 @@ _LABELS = """RECURSIVE, lab(id, label) AS (SELECT id, id FROM ent UNION SELECT n
 comp AS (SELECT id, min(label) AS component FROM lab GROUP BY 1)"""
 _LINKS = ["similar-to", "causes", "is-a", "prevents"]
 _graph("components", metrics.components, f"{_LABELS} SELECT id, component FROM comp", types=_LINKS)
+_graph("components_all", metrics.components, None)
+_graph("graph_stats_all", lambda g: metrics.stats(g).select("nodes", "edges", "relationships", _r("density"), "connected", "components", _r("average_clustering")), None)
 _graph("graph_stats", lambda g: metrics.stats(g).select("nodes", "edges", "relationships", _r("density"), "connected", "components", _r("average_clustering")),
        f"{_LABELS}{_CLUSTER} SELECT (SELECT count(*) FROM ent) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM rel) AS relationships, round((SELECT count(*) FROM edges) / ((SELECT count(*) FROM ent) * ((SELECT count(*) FROM ent) - 1)), 6) AS density, (SELECT count(DISTINCT component) FROM comp) = 1 AS connected, (SELECT count(DISTINCT component) FROM comp) AS components, round((SELECT avg(score) FROM score), 6) AS average_clustering", types=_LINKS)
 
@@ -143,8 +144,8 @@ u{i} AS (SELECT p.id, score + coalesce(got, 0) AS score FROM p{i - 1} p LEFT JOI
 _graph("pagerank_fixed", lambda g: metrics.pagerank(g, rounds=5, tolerance=None).select("id", _r("score")), _pagerank_sql(5))
 _graph("eigenvector_fixed", lambda g: metrics.eigenvector(g, rounds=5, tolerance=None).select("id", _r("score")), _eigenvector_sql(5))
 _DIST = "RECURSIVE, walk(source, id, hops) AS (SELECT id, id, 0 FROM ent UNION SELECT walk.source, t, hops + 1 FROM walk JOIN edges ON walk.id = s WHERE hops < 5), dist AS (SELECT source, id, min(hops) AS hops FROM walk GROUP BY 1, 2)"
-_graph("distances", lambda g: metrics.distances(g).select("source", "id", "hops"), f"{_DIST} SELECT source, id, hops FROM dist", _PLACES, _PLACE_TYPES)
-_graph("closeness", lambda g: metrics.closeness(g).select("id", _r("score")), f"{_DIST} SELECT id, round(CASE WHEN sum(hops) > 0 THEN (count(*) - 1) / sum(hops) * ((count(*) - 1) / ((SELECT count(*) FROM ent) - 1)) ELSE 0 END, 6) AS score FROM dist GROUP BY 1", _PLACES, _PLACE_TYPES)
+_graph("distances", lambda g: metrics.distances(g).select("source", "id", "hops"), f"{_DIST} SELECT source, id, hops FROM dist", _PLACES)
+_graph("closeness", lambda g: metrics.closeness(g).select("id", _r("score")), f"{_DIST} SELECT id, round(CASE WHEN sum(hops) > 0 THEN (count(*) - 1) / sum(hops) * ((count(*) - 1) / ((SELECT count(*) FROM ent) - 1)) ELSE 0 END, 6) AS score FROM dist GROUP BY 1", _PLACES)
 _BETWEEN = """, hop AS (SELECT d.source, d.id AS a, e.t AS b FROM dist d JOIN edges e ON e.s = d.id JOIN dist f ON f.source = d.source AND f.id = e.t AND f.hops = d.hops + 1),
 ways(source, id, hops, n) AS (SELECT id, id, 0, 1.0::DOUBLE FROM ent),
 w1 AS (SELECT h.source, h.b AS id, 1 AS hops, sum(n) AS n FROM hop h JOIN ways w ON w.source = h.source AND w.id = h.a GROUP BY 1, 2),
@@ -154,8 +155,8 @@ w4 AS (SELECT h.source, h.b AS id, 4 AS hops, sum(n) AS n FROM hop h JOIN w3 w O
 w AS (SELECT * FROM ways UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4),
 through AS (SELECT a.id, sum(a.n * b.n / c.n) AS score FROM w a JOIN w b ON b.source = a.id AND b.hops > 0 JOIN w c ON c.source = a.source AND c.id = b.id AND c.hops = a.hops + b.hops WHERE a.hops > 0 GROUP BY 1)
 SELECT ent.id, round(coalesce(score, 0) / (((SELECT count(*) FROM ent) - 1) * ((SELECT count(*) FROM ent) - 2)), 6) AS score FROM ent LEFT JOIN through ON ent.id = through.id"""
-_graph("betweenness", lambda g: metrics.betweenness(g).select("id", _r("score")), _DIST + _BETWEEN, _PLACES, _PLACE_TYPES)
-_graph("average_path_length", lambda g: metrics.average_path_length(g), f"{_DIST} SELECT CASE WHEN count(*) FILTER (hops > 0) = (SELECT count(*) * (count(*) - 1) FROM ent) THEN sum(hops) / count(*) FILTER (hops > 0) END AS average FROM dist", _PLACES, _PLACE_TYPES)
+_graph("betweenness", lambda g: metrics.betweenness(g).select("id", _r("score")), _DIST + _BETWEEN, _PLACES)
+_graph("average_path_length", lambda g: metrics.average_path_length(g), f"{_DIST} SELECT CASE WHEN count(*) FILTER (hops > 0) = (SELECT count(*) * (count(*) - 1) FROM ent) THEN sum(hops) / count(*) FILTER (hops > 0) END AS average FROM dist", _PLACES)
 
 # --- traversal and paths ----------------------------------------------------------------------------------------------
 
@@ -245,10 +246,11 @@ _graph("remove_relationship", lambda g: g.remove_relationships(["cn1", "nr2"]).r
 _graph("add_entity", lambda g: g.add_entities(entity_frame(g.entities.sparkSession, [{"id": "n1", "name": "Renamed", "type": "Nation"}, {"id": "new", "name": "New", "type": "Nation"}])).nodes.select("id", "name", "entity_type"),
        "SELECT id, CASE id WHEN 'n1' THEN 'Renamed' ELSE name END AS name, entity_type FROM ent UNION ALL SELECT 'new', 'New', 'Nation'")
 _graph("relationship_reverse", lambda g: reverse(g.rels).select("id", "source_entity", "target_entity"), "SELECT id || '_reversed' AS id, target_entity AS source_entity, source_entity AS target_entity FROM rel")
-_graph("coref_edit", lambda g: coref.similar_pairs(g.nodes, 0.7, "edit").select("id1", "id2", _r("similarity")),
-       ", x AS (SELECT id, ord, entity_type, trim(lower(name)) AS n FROM ent), s AS (SELECT a.id AS id1, b.id AS id2, CASE WHEN greatest(length(a.n), length(b.n)) = 0 THEN 1 ELSE 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) END AS similarity FROM x a JOIN x b ON a.entity_type = b.entity_type AND a.ord < b.ord) SELECT id1, id2, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.7", ["part-of"], ["Region", "Nation", "Job", "Skill"])
-_graph("coref_ratio", lambda g: coref.similar_pairs(g.nodes, 0.7).select("id1", "id2", _r("similarity")), None, ["part-of"], ["Region", "Nation", "Job", "Skill"])
-_graph("coref_groups", lambda g: coref.resolve(g)[1].select("canonical_name", F.size("entity_ids").alias("n"), _r("confidence")), None, ["part-of"], ["Region", "Nation", "Skill"])
+_SURE = 0.95
+_graph("coref_edit", lambda g: coref.similar_pairs(g.nodes, _SURE, "edit").select("id1", "id2", _r("similarity")),
+       f", x AS (SELECT id, ord, entity_type, trim(lower(name)) AS n FROM ent), s AS (SELECT a.id AS id1, b.id AS id2, 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) AS similarity FROM x a JOIN x b ON a.entity_type = b.entity_type AND a.ord < b.ord) SELECT id1, id2, round(similarity, 6) AS similarity FROM s WHERE similarity >= {_SURE}")
+_graph("coref_ratio", lambda g: coref.similar_pairs(g.nodes, _SURE).select("id1", "id2", _r("similarity")), None)
+_graph("coref_groups", lambda g: coref.resolve(g, _SURE)[1].select("canonical_name", F.size("entity_ids").alias("n"), _r("confidence")), None)
 
 # --- text -------------------------------------------------------------------------------------------------------------
 
@@ -349,7 +351,7 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _stored(build: Callable[[GraphStore, KG], DataFrame]) -> Callable[[KG], DataFrame]:
-    """A query over a store that holds two versions of the places graph."""
+    """A query over a store that holds two versions of the graph."""
 
     def run(g: KG) -> DataFrame:
         kept = GraphStore(g.entities.sparkSession, _folder(g.entities.sparkSession))
@@ -362,11 +364,11 @@ def _stored(build: Callable[[GraphStore, KG], DataFrame]) -> Callable[[KG], Data
 
 
 _graph("store_list_graphs", _stored(lambda st, g: st.list_graphs().select("graph", "versions", "entity_count", "relationship_count")),
-       "SELECT 'places_and_more' AS graph, 2::BIGINT AS versions, (SELECT count(*) FROM ent WHERE id <> 'r0') AS entity_count, (SELECT count(*) FROM rel WHERE source_entity <> 'r0' AND target_entity <> 'r0') AS relationship_count", _PLACES, _PLACE_TYPES)
+       "SELECT 'places_and_more' AS graph, 2::BIGINT AS versions, (SELECT count(*) FROM ent WHERE id <> 'r0') AS entity_count, (SELECT count(*) FROM rel WHERE source_entity <> 'r0' AND target_entity <> 'r0') AS relationship_count")
 _graph("store_list_versions", _stored(lambda st, g: st.list_versions("places and more").select("entity_count", "relationship_count", "description")),
-       "SELECT count(*) AS entity_count, (SELECT count(*) FROM rel) AS relationship_count, 'all' AS description FROM ent UNION ALL SELECT (SELECT count(*) FROM ent WHERE id <> 'r0'), (SELECT count(*) FROM rel WHERE source_entity <> 'r0' AND target_entity <> 'r0'), 'without one region'", _PLACES, _PLACE_TYPES)
-_graph("store_load_current", _stored(lambda st, g: st.load("places and more").rels.select(*_REL)), "SELECT id, source_entity, target_entity, relation_type FROM rel WHERE source_entity <> 'r0' AND target_entity <> 'r0'", _PLACES, _PLACE_TYPES)
-_graph("store_load_version", _stored(lambda st, g: st.load("places and more", st.list_versions("places and more").collect()[-1]["version_id"]).nodes.select("id", "name", _r("confidence"))), "SELECT id, name, round(confidence, 6) AS confidence FROM ent", _PLACES, _PLACE_TYPES)
+       "SELECT count(*) AS entity_count, (SELECT count(*) FROM rel) AS relationship_count, 'all' AS description FROM ent UNION ALL SELECT (SELECT count(*) FROM ent WHERE id <> 'r0'), (SELECT count(*) FROM rel WHERE source_entity <> 'r0' AND target_entity <> 'r0'), 'without one region'")
+_graph("store_load_current", _stored(lambda st, g: st.load("places and more").rels.select(*_REL)), "SELECT id, source_entity, target_entity, relation_type FROM rel WHERE source_entity <> 'r0' AND target_entity <> 'r0'")
+_graph("store_load_version", _stored(lambda st, g: st.load("places and more", st.list_versions("places and more").collect()[-1]["version_id"]).nodes.select("id", "name", _r("confidence"))), "SELECT id, name, round(confidence, 6) AS confidence FROM ent")
 
 
 def _through(format: str, read: str) -> Callable[[KG], KG]:
@@ -379,8 +381,8 @@ def _through(format: str, read: str) -> Callable[[KG], KG]:
 
 
 _graph("json_lines_round_trip", lambda g: _through("json", "jsonl")(g).nodes.select("id", "name", F.element_at("attributes", "brand").alias("brand"), _r("confidence")), "SELECT id, name, a_brand AS brand, round(confidence, 6) AS confidence FROM ent")
-_graph("graphml_round_trip", lambda g: _through("graphml", "graphml")(g).rels.select(*_REL, _r("confidence")), "SELECT id, source_entity, target_entity, relation_type, round(confidence, 6) AS confidence FROM rel", _PLACES, _PLACE_TYPES)
-_graph("graphml_round_trip_entities", lambda g: _through("graphml", "graphml")(g).nodes.select("id", "name", "entity_type", F.element_at("attributes", "size").alias("size")), "SELECT id, name, entity_type, a_size AS size FROM ent", ["part-of"], ["Part"])
+_graph("graphml_round_trip", lambda g: _through("graphml", "graphml")(g).rels.select(*_REL, _r("confidence")), "SELECT id, source_entity, target_entity, relation_type, round(confidence, 6) AS confidence FROM rel")
+_graph("graphml_round_trip_entities", lambda g: _through("graphml", "graphml")(g).nodes.select("id", "name", "entity_type", F.element_at("attributes", "size").alias("size")), "SELECT id, name, entity_type, a_size AS size FROM ent")
 _graph("from_registries", lambda g: graph_io.from_registries(g.entities, g.relationships).rels.select("id"), "SELECT id FROM rel")
 _add("from_extraction", "SELECT 'e' || r_regionkey AS id, r_name AS name, 'Region' AS entity_type FROM region")(
     lambda spark, sf_dir: graph_io.from_extraction(
