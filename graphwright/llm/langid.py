@@ -12,7 +12,7 @@ so a batch is scored by one matrix product with the places x languages matrix
 on the right; it is the same number, computed in the other order.
 
 The fit uses a bounded, documented sample: ``PER_LANGUAGE`` labelled rows of each
-language (those of least hash of their id), of which ``LANDMARKS`` in all serve as
+language (those of least hash of their id; ``SAMPLE`` in all), of which ``LANDMARKS`` in all serve as
 landmarks; it is spread over languages, so that a hot one does not crowd out others.
 
 Defined results: null text or a text without any letter is ``und`` with score 0;
@@ -36,6 +36,8 @@ from graphwright.llm.arrow import flat_bytes, small_batches
 ORDERS = 4
 DIMS = 1 << 15
 PER_LANGUAGE = 300
+#: Rows of the sample in all; many languages share it evenly.
+SAMPLE = 4096
 LANDMARKS = 256
 #: Labels that are learned: the most frequent ones.
 LANGUAGES = 200
@@ -110,22 +112,25 @@ def fit_rows(packed: list[bytes], labels: list[str], landmarks: int = LANDMARKS,
     languages = tuple(sorted(set(labels)))
     if not languages:
         return Model((), np.zeros((DIMS, 0), np.float32))
-    bits = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), DIMS // 8), axis=1).astype(np.float32)
-    norm = np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1))
-    unit = bits / norm
     order = np.argsort(labels, kind="stable")
     rank = np.empty(len(labels), np.int64)
     for language in languages:
         own = [i for i in order if labels[i] == language]
         rank[own] = np.arange(len(own))
     marks = np.lexsort((np.array(labels), rank))[:landmarks]
-    k_nm = (unit @ unit[marks].T).astype(np.float64)
+
+    def unit(rows) -> np.ndarray:
+        bits = np.unpackbits(np.frombuffer(b"".join(packed[i] for i in rows), np.uint8).reshape(-1, DIMS // 8), axis=1)
+        return bits.astype(np.float32) / np.sqrt(np.maximum(bits.sum(axis=1, dtype=np.int64), 1)).astype(np.float32)[:, None]
+
+    basis = unit(marks)
+    k_nm = np.concatenate([unit(range(at, min(at + ROWS, len(packed)))) @ basis.T for at in range(0, len(packed), ROWS)]).astype(np.float64)
     k_mm = k_nm[marks]
     target = np.array([[1.0 if label == language else -1.0 for language in languages] for label in labels])
     share = {language: labels.count(language) for language in languages}
     weight = np.array([1.0 / share[label] for label in labels])[:, None] * len(labels) / len(languages)
     alpha = np.linalg.lstsq(k_nm.T @ (weight * k_nm) + ridge * k_mm, k_nm.T @ (weight * target), rcond=1e-9)[0]
-    return Model(languages, (unit[marks].T.astype(np.float64) @ alpha).astype(np.float32))
+    return Model(languages, basis.T @ alpha.astype(np.float32))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -139,6 +144,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return fit_rows([], [])
+    per_language = max(1, min(per_language, SAMPLE // len(sizes)))
     # A hash threshold leaves about four times the sample of each language, whatever its size; the window only trims it.
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     below = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 40, (4 * per_language << 40) // n + 1))])
