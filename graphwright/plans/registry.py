@@ -17,6 +17,7 @@ from graphwright.functions import language, text
 from graphwright.operators import conflicts, coref, extract, metrics, query, reason, registry, segment, summarize, traverse, verify, viz
 from graphwright.operators.graph import KG, reverse
 from graphwright.plans.durable import shared_dir
+from graphwright.plans.spread import spread
 from graphwright.plans.testgraph import oracle, raw_entities, raw_relationships, test_graph
 from graphwright.schema import entity_frame, validate_entities, validate_relationships
 from graphwright.sources import graph_io
@@ -47,7 +48,7 @@ def _graph(name: str, build: Callable[[KG], DataFrame], body: str | None, types:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _r(c: str, alias: str | None = None) -> F.Column:
