@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from graphwright.plans.spread import spread
+
 #: Rows of an Arrow batch sent to Python; texts are kilobytes long, so a batch stays at some megabytes.
 ROWS_PER_BATCH = 500
 #: Bytes after which Spark closes a batch early, for runs of very long texts.
@@ -15,11 +17,11 @@ BYTES_PER_BATCH = 16 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Bound the session's Arrow batches (rows and bytes) before ``df`` is handed to Python."""
+    """Bound the session's Arrow batches (rows and bytes) before ``df`` is handed to Python; small inputs use all cores."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
-    return df
+    return spread(df)
 
 
 def raw_texts(column: pa.Array) -> Iterator[bytes]:
