@@ -3,7 +3,9 @@
 Each table projects a unit vector onto two random 8-dimensional subspaces and
 decodes both to E8 lattice points; the pair of points is its home cell.  A vector
 is stored in its home cell and probes its home and the nearest neighbouring cells
-of every table.  A pair met in any table is verified by its cosine in double
+of every table.  Rows travel to cells as 128-bit sign sketches first; only where
+a sketch has company in its cell does the vector follow, so what is shuffled is a
+few times the input and not a vector per probe.  A pair met in any table is verified by its cosine in double
 precision; links are closed transitively.
 
 Equal vectors are one class first.  Cells of any size are compared in bounded
@@ -43,6 +45,9 @@ SUBSPACES, NEIGHBOURS = 2, 5
 #: Lattice spacing for unit vectors of 64 dimensions; scaled with the square root of others.
 WIDTH = 0.3
 SEED = 20_240
+#: Differing signs of 128 up to which two sketches may belong to linked vectors: 18 are expected at the threshold
+#: (standard deviation 4; one pair in ten million has more than 40) and 64 between unrelated vectors.
+SKETCH_BITS = 40
 #: Pairs whose cells are compared at a time.
 PAIRS = 1 << 18
 
@@ -75,6 +80,12 @@ def cells(unit: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """rows x 2 words of the signs of 128 random projections."""
+    axes = np.random.default_rng(SEED - 1).normal(size=(unit.shape[1], 128))
+    return np.packbits(unit @ axes > 0, axis=1).view(np.int64)
+
+
 def _unit(raw: np.ndarray, kind: str) -> np.ndarray:
     values = np.ascontiguousarray(raw).view(kind).astype(np.float64)
     return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
@@ -103,22 +114,61 @@ def valid_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return source.mapInArrow(run, "vec_id long, vec binary")
 
 
+def _rows(batch: pa.RecordBatch, kind: str) -> np.ndarray:
+    raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    return _unit(raw, kind)
+
+
 def _placed(classes: DataFrame, kind: str) -> DataFrame:
-    """Every class in each cell it probes, with whether the cell is its home."""
+    """Every class in each cell it probes, whether the cell is its home, and its sign sketch instead of the vector."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            codes = cells(_unit(raw, kind))
+            unit = _rows(batch, kind)
+            codes, signs = cells(unit), sketches(unit)
             for t in range(TABLES):
                 for p in range(PROBES):
                     key = pa.array(codes[:, t, p])
-                    table, home = pa.array(np.full(len(raw), t, np.int32)), pa.array(np.full(len(raw), p == 0))
-                    yield pa.RecordBatch.from_arrays([key, table, home, *batch.columns], names=["key", "tab", "home", "rep", "vec", "n"])
+                    table, home = pa.array(np.full(len(unit), t, np.int32)), pa.array(np.full(len(unit), p == 0))
+                    yield pa.RecordBatch.from_arrays(
+                        [key, table, home, batch.column(0), pa.array(signs[:, 0]), pa.array(signs[:, 1])],
+                        names=["key", "tab", "home", "rep", "s1", "s2"],
+                    )
+
+    return classes.select("rep", "vec").mapInArrow(run, "key long, tab int, home boolean, rep long, s1 long, s2 long")
+
+
+def _with_company(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Which rows meet, in their cell, another with a sketch close enough, one of the two at home."""
+    group, home = rows["group"], rows["home"].astype(bool)
+    s1, s2 = rows["s1"].view(np.uint64), rows["s2"].view(np.uint64)
+    found, left, shift = np.zeros(len(group), bool), np.arange(len(group)), 0
+    while True:
+        shift += 1
+        left = left[left + shift < len(group)]
+        left = left[group[left] == group[left + shift]]
+        if not len(left):
+            return found
+        i = left[~(found[left] & found[left + shift])]
+        i = i[home[i] | home[i + shift]]
+        near = np.bitwise_count(s1[i] ^ s1[i + shift]).astype(np.int16) + np.bitwise_count(s2[i] ^ s2[i + shift]) <= SKETCH_BITS
+        found[i[near]] = found[i[near] + shift] = True
+
+
+def _candidates(classes: DataFrame, kind: str) -> DataFrame:
+    """The places of :func:`_placed` worth a vector: those with company by sketch; ``(key, tab, home, rep, vec, n)``."""
+
+    def run(batches):
+        for rows in stream_blocks(batches):
+            keep = np.flatnonzero(_with_company(rows))
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[c][keep]) for c in ("gkey", "tab", "home", "rep")], names=["key", "tab", "home", "rep"])
 
-    return classes.select("rep", "vec", "n").mapInArrow(run, "key long, tab int, home boolean, rep long, vec binary, n long")
+    places = blocked_rows(_placed(classes, kind), "key", "rep").mapInArrow(run, "key long, tab int, home boolean, rep long")
+    # A row of a large cell is seen in several block pairs.
+    return durable(places.distinct(), "places").join(classes, "rep").select("key", "tab", "home", "rep", "vec", "n")
 
 
 def _pairs(group: np.ndarray, start: np.ndarray, stop: np.ndarray, unit: np.ndarray, rows: dict[str, np.ndarray], least: float):
@@ -157,7 +207,7 @@ def _first_meeting(i: np.ndarray, j: np.ndarray, codes: np.ndarray, first: np.nd
 
 def class_links(classes: DataFrame, kind: str, least: float = LEAST_COSINE) -> DataFrame:
     """``(rep, links, root)``: links counted per place of comparison, and a star that connects what is linked there."""
-    blocks = blocked_rows(_placed(classes, kind), "key", "rep")
+    blocks = blocked_rows(_candidates(classes, kind), "key", "rep")
 
     def run(batches):
         for rows in stream_blocks(batches):
