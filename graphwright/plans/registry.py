@@ -319,9 +319,9 @@ def _extract_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_graph(segments).nodes.select("id", "name", "entity_type", _r("confidence"))
 
 
-_add("entities_in_context", "SELECT c.conv_id || '-' || c.turn AS segment_id, 'q' || item_id AS entity_id FROM conversations c JOIN (SELECT item_id, left(text, 40) AS q FROM benchmark) b ON contains(c.text, q)")(
+_add("entities_in_context", "SELECT d.doc_id::VARCHAR AS segment_id, 'q' || item_id AS entity_id FROM documents d JOIN (SELECT item_id, left(text, 40) AS q FROM benchmark) b ON contains(d.text, q)")(
     lambda spark, sf_dir: extract.entities_in_segments(
-        spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"),
+        _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "text"),
         spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.concat(F.lit("q"), "item_id").alias("id"), F.lit("q").alias("name"), F.substring("text", 1, 40).alias("context")), strict=True,
     ).select("segment_id", "entity_id")
 )
