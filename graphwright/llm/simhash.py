@@ -198,13 +198,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Rows of ``docs`` without near-duplicates: of each component the row of the least doc_id stays.
 
-    Of repeated rows with that doc_id one stays; rows with a null doc_id cannot be
+    ``found`` has the components as ``(doc_id, component_id)``; without it they are those of the link rule.  Of repeated rows with that doc_id one stays; rows with a null doc_id cannot be
     named and stay.  All columns are returned unchanged.
     """
-    found = durable(near_duplicates(docs).where("doc_id is not null"), "components")
+    found = near_duplicates(docs) if found is None else found
+    found = durable(found.where("doc_id is not null"), "components")
     dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
     kept = docs.join(dropped, docs["doc_id"] == F.col("__drop"), "left_anti")
     repeated = durable(
