@@ -8,7 +8,8 @@ words, dates, repeats, keyboard walks and brute-force characters costs at least
 value; it is linear in the value's length times the longest table word.
 
 Spans are code points, the whole match, end exclusive; base spans are never
-dropped; a guess span that touches a base span is left out.
+dropped; a guess span that one base span covers is left out, one that a base span
+only touches stays beside it, and ``mask`` merges them.
 
 Defined results: null and empty texts have no spans; whole texts are scanned,
 however long; repeated rows and equal texts get equal spans; ties in cost do not
@@ -109,11 +110,12 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     spans = [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     spans += [(*m.span(), "access") for m in ACCESS.finditer(text)]
     spans += [(*m.span(), "hex") for m in HEX.finditer(text)]
+    base = list(spans)
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
         while b > a and text[b - 1] in ".)]}":
             b -= 1
-        if b - a >= 8 and not any(s < b and a < e for s, e, _ in spans) and guess_cost(text[a:b]) >= LEAST_LOG10:
+        if b - a >= 8 and not any(s <= a and b <= e for s, e, _ in base) and guess_cost(text[a:b]) >= LEAST_LOG10:
             spans.append((a, b, "guess"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
