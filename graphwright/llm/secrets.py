@@ -1,8 +1,9 @@
 """Secret scans: fixed credential patterns plus values that are costly to guess.
 
 Base kinds (leftmost, non-overlapping, per kind): ``assign``, ``access``, ``hex``.
-The method adds ``guess`` spans: a value in a credential context (a credential
-word, then a separator, then the value) whose cheapest segmentation into common
+The method adds ``guess`` spans: a value in a credential context (a key that holds a
+credential word, then a separator with any spaces, then the value, up to its closing
+quote where it is quoted) whose cheapest segmentation into common
 words, dates, repeats, keyboard walks and brute-force characters costs at least
 10 ** ``LEAST_LOG10`` guesses.  The dynamic programme is over prefixes of the
 value; it is linear in the value's length times the longest table word.
@@ -36,11 +37,14 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN = 12
 KINDS = ("assign", "access", "hex", "guess")
 
-CONTEXT = re.compile(
-    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth)["']?"""
-    r"""\x20{0,4}(?:=>|:=|[:=])\x20{0,4}["']?([^\s"'<>,;]{8,})""",
-    re.I | re.A,
-)
+#: A credential word inside a key; ``pass`` and ``auth`` alone must not go on as another word (passage, author).
+WORD = re.compile(r"password|passwd|passphrase|passcode|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|(?:pass|auth)(?![a-z])", re.I | re.A)
+SEPARATOR = re.compile(r"(=>|:=|[:=])\x20*+")
+#: A quoted value reaches to its closing quote on the same line; a backslash takes the next character along.
+QUOTED = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'""")
+PLAIN = re.compile(r"""["']?([^\s"'<>,;]+)""")
+_KEY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+LEAST_VALUE = 8
 #: log10 of the guesses from which a value counts as a secret.
 LEAST_LOG10 = 11.0
 
@@ -103,6 +107,40 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def credential_values(text: str):
+    """``(start, end)`` of the values in credential contexts: a key with a credential word, a separator, the value.
+
+    Works from the separators outwards, so that it is linear in the text whatever its runs.
+    """
+    done = 0
+    for m in SEPARATOR.finditer(text):
+        stop = m.start()
+        if stop < done:  # inside the last value
+            continue
+        while stop > done and text[stop - 1] == " ":
+            stop -= 1
+        if stop > done and text[stop - 1] in "\"'":
+            stop -= 1
+        start = stop
+        while start > done and text[start - 1] in _KEY:
+            start -= 1
+        done = m.end(1)
+        if start == stop or not WORD.search(text, start, stop):
+            continue
+        value = QUOTED.match(text, m.end())
+        if value:
+            done = value.end()
+            yield value.span(value.lastindex)
+            continue
+        value = PLAIN.match(text, m.end())
+        if value:
+            a, b = value.span(1)
+            done = b
+            while b > a and text[b - 1] in ".)]}":
+                b -= 1
+            yield a, b
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of all spans, by start, then kind as listed in ``KINDS``."""
     if not text:
@@ -111,11 +149,8 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     spans += [(*m.span(), "access") for m in ACCESS.finditer(text)]
     spans += [(*m.span(), "hex") for m in HEX.finditer(text)]
     base = list(spans)
-    for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        while b > a and text[b - 1] in ".)]}":
-            b -= 1
-        if b - a >= 8 and not any(s <= a and b <= e for s, e, _ in base) and guess_cost(text[a:b]) >= LEAST_LOG10:
+    for a, b in credential_values(text):
+        if b - a >= LEAST_VALUE and not any(s <= a and b <= e for s, e, _ in base) and guess_cost(text[a:b]) >= LEAST_LOG10:
             spans.append((a, b, "guess"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 

@@ -589,6 +589,20 @@ def test_secret_values_are_masked_whole():
     assert [k for _, _, k in secrets.find_spans("password = abcdefghijKLMNOP")] == ["assign"]
 
 
+def test_secret_contexts():
+    value = "T7#kq!9Zr$w2&x8"
+    for context in ["dbPassword: {}", "accessToken={}", "userpassword: {}", "secret_key = {}", "password:     {}", "password      = '{}'", '"dbPassword" : "{}"', "API-KEY => {}", "pass={}", "oauth: {}"]:
+        text = "say " + context.format(value) + " end"
+        assert [text[a:b] for a, b, k in secrets.find_spans(text) if k == "guess"] == [value], text
+    for value in ["T7#kq,9Zr$w2&x8!", "T7#kq;9Zr$<2>x8!", "it's T7#kq 9Zr$w2", 'T7#kq\\"9Zr$w2&x8!']:
+        text = f'password="{value}" end'
+        assert [text[a:b] for a, b, k in secrets.find_spans(text) if k == "guess"] == [value] and value not in secrets.mask(text)
+    assert not secrets.find_spans("author: T7#kq!9Zr$w2&x8 passage = T7#kq!9Zr$w2&x8 tok en = T7#kq!9Zr$w2&x8")
+    assert secrets.mask('password="T7#kq!9Zr$w2&x8 and\nno "end') == 'password="[SECRET] and\nno "end'
+    for odd in ["password=" * 2_000, "pass" * 200_000, ":" * 500_000, " :" * 200_000, 'token="' * 100_000, "token" + " " * 500_000 + "= x"]:
+        secrets.find_spans(odd)
+
+
 def _cheapest(value):
     """Guess cost by trying every segmentation."""
     low = value.lower()
