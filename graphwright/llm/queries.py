@@ -46,6 +46,11 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op8_urls_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_urls, whose SQL stops after eight rounds, but propagated until nothing that matters is left."""
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), rounds=None)
+
+
 def op9_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.link_calls(*toolcalls.turns_as_calls(_table(spark, sf_dir, "conversations")))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash,
         "op7_sharding": op7_sharding,
         "op8_urls": op8_urls,
+        "op8_urls_converged": op8_urls_converged,
         "op9_toolcalls": op9_toolcalls,
         "op10_secrets": op10_secrets,
     }

@@ -30,6 +30,8 @@ from graphwright.plans.durable import durable
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING = 0.85
 ROUNDS = 8
+#: What all rounds left out by a converged propagation may add to any score; scores are rounded at 1e-9.
+LEFT = 1e-10
 THRESHOLD = 0.5
 HREF = r"""href=["'][Hh][Tt][Tt][Pp][Ss]?://([^/?#"'<> ]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,8 +81,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return both.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """``(host, trust, distrust)`` after ``rounds`` of propagation.
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS) -> DataFrame:
+    """``(host, trust, distrust)`` after ``rounds`` of propagation (None: until what is left to pass on is below ``LEFT``).
 
     ``seeds``: (host, trust, distrust) in [0, 1]; hosts of ``edges`` without a seed
     have 0.  Each round adds what the last one passed on: trust over each host's
@@ -93,6 +95,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     ways = durable(ways.join(out, ["kind", "a"]).select("kind", "a", "b", (F.lit(damping) * F.col("w") / F.col("all")).alias("p")), "ways")
     flow = seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, s)")).where("s > 0")
     flow = durable(flow.select("kind", F.col("host").alias("a"), (F.lit(1 - damping) * F.col("s")).alias("s")), "flow")
+    if rounds is None:
+        return _converged(flow, ways, damping)
     parts = [flow]
     for _ in range(rounds):
         flow = durable(
@@ -110,7 +114,18 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     return total.groupBy(F.col("a").alias("host")).agg(score("trust"), score("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def _converged(flow: DataFrame, ways: DataFrame, damping: float) -> DataFrame:
+    """Scores when all later rounds together would add less than ``LEFT``, over all hosts."""
+    state = flow.withColumn("total", F.col("s"))
+    while (state.agg(F.sum("s")).first()[0] or 0.0) * damping / (1 - damping) >= LEFT:
+        passed = state.where("s > 0").join(ways, ["kind", "a"]).select("kind", F.col("b").alias("a"), (F.col("s") * F.col("p")).alias("s"))
+        both = passed.withColumn("total", F.col("s")).unionByName(state.select("kind", "a", F.lit(0.0).alias("s"), "total"))
+        state = durable(both.groupBy("kind", "a").agg(F.sum("s").alias("s"), F.sum("total").alias("total")), "state")
+    score = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("total")).otherwise(0.0)).alias(kind)
+    return state.groupBy(F.col("a").alias("host")).agg(score("trust"), score("distrust"))
+
+
+def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int | None = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """``(page_id, host, path, rule, verdict, trust, distrust)`` for every row of ``pages``."""
     ruled = judged_by_rules(pages, rules)
     share = lambda verdict: (F.count_if(F.col("rule_verdict") == verdict) / F.count(F.lit(1))).alias
