@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphwright.llm.arrow import BYTES_PER_BATCH, raw_texts, small_batches
+from graphwright.llm.arrow import BYTES_PER_BATCH, map_small, raw_texts
 
 UNIT = 64
 RATE, OUT_RATE = 16_000, 10_000
@@ -34,6 +34,8 @@ FRAME, HOP, FFT, MELS = 250, 100, 256, 40
 PATCH = 32
 #: Frames that are transformed at a time.
 FRAME_BLOCK = 8192
+#: Stored log band powers are multiples of 1 / STEPS, so that the last bits of a machine's own arithmetic do not show.
+STEPS = 64
 #: The detector switches on above the first and off below the second level (dB against the loudest frame).
 ON_DB, OFF_DB, FLOOR_DB = -6.0, -12.0, -60.0
 HEADER = 44
@@ -116,7 +118,7 @@ def log_mel(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         frames = frames - frames.mean(axis=1, keepdims=True)
         energy[at : at + n] = 10 * np.log10((frames * frames).mean(axis=1) + 1e-10)
         power = np.abs(np.fft.rfft(frames * window, FFT)) ** 2
-        mels[at : at + n] = np.log(power.astype(np.float32) @ _mel_bands() + 1e-6)
+        mels[at : at + n] = np.rint(np.log(power.astype(np.float32) @ _mel_bands() + 1e-6) * STEPS) / STEPS
     return mels, energy
 
 
@@ -196,8 +198,8 @@ def features(docs: DataFrame) -> DataFrame:
             if rows:
                 yield flush(rows)
 
-    source = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return source.mapInArrow(
+    return map_small(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
         run,
         "doc_id long, n_bytes long, payload_bytes long, media binary, frames long, tensors binary, "
         "spans array<struct<start_s double, end_s double>>",
