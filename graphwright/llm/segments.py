@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphwright.llm.arrow import small_batches
+from graphwright.llm.arrow import map_small
 
 SAMPLES = 2
 #: Exponent of the pieces' weights: 1 samples the model itself, smaller values flatten it (subword regularisation).
@@ -49,6 +49,8 @@ TEXT_BLOCK = 1 << 20
 #: Lattice edges kept for reuse; the store is emptied beyond that.
 STORE_EDGES = 4_000_000
 SPACE = "▁"
+#: Stands for a "▁" of the text itself inside the lattice: above every code point, so that no text holds it.
+_PLAIN_SPACE_MARK = 0x110000
 _GOLDEN, _WORD = 0x9E3779B97F4A7C15, 2**64 - 1
 #: Slots (a power of two) of the table of pieces and their beginnings, and the multiplier of its rolling hash.
 SLOT_BITS = 19
@@ -154,14 +156,14 @@ class Lattice:
         place = self.unknown.get(char)
         if place is None:
             place = self.unknown[char] = len(self.spelt)
-            raw = (SPACE if char == 0xFFFF else chr(char)).encode("utf-8", "surrogatepass")
+            raw = (SPACE if char == _PLAIN_SPACE_MARK else chr(char)).encode("utf-8", "surrogatepass")
             self.spelt.append(tuple(self.byte_ids[b] for b in raw))
         return -2 - place
 
     def add(self, stretches: list[str]) -> np.ndarray:
         """Build the lattices of stretches (spaces still plain); their first nodes."""
         chars = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), "<u4")
-        chars = np.where(chars == ord(SPACE), np.uint32(0xFFFF), np.where(chars == 32, np.uint32(ord(SPACE)), chars))
+        chars = np.where(chars == ord(SPACE), np.uint32(_PLAIN_SPACE_MARK), np.where(chars == 32, np.uint32(ord(SPACE)), chars))
         lengths = np.fromiter(map(len, stretches), np.int64, len(stretches))
         ends = np.cumsum(lengths)
         left = np.repeat(ends, lengths) - np.arange(len(chars))
@@ -514,5 +516,5 @@ def _sampled(rows: DataFrame, model: str, key: str | Column, text: str, samples:
                 yield emit(lattice, keys, texts)
 
     out = _OUT.replace("ids array<long>", "n_ids long, ids_crc32 long") if digest else _OUT
-    source = small_batches(rows.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
-    return source.mapInArrow(run, out).withColumnRenamed("key", key)
+    source = rows.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    return map_small(source, run, out).withColumnRenamed("key", key)
