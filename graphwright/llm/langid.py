@@ -13,7 +13,9 @@ on the right; it is the same number, computed in the other order.
 
 The fit uses a bounded, documented sample: ``PER_LANGUAGE`` labelled rows of each
 language (those of least hash of their id; ``SAMPLE`` in all), of which ``LANDMARKS`` in all serve as
-landmarks; it is spread over languages, so that a hot one does not crowd out others.
+landmarks; it is spread over languages, so that a hot one does not crowd out others.  Every label
+with a row outside the fold is learned, however rare: only the rows are bounded, and the sample and
+the landmarks grow to one row a label where there are more labels than either.
 
 Defined results: null text or a text without any letter is ``und`` with score 0;
 ties go to the language that sorts first; repeated rows get equal answers; without
@@ -31,16 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphwright.llm.arrow import flat_bytes, small_batches
+from graphwright.llm.arrow import flat_bytes, map_small
 
 ORDERS = 4
 DIMS = 1 << 15
 PER_LANGUAGE = 300
-#: Rows of the sample in all; many languages share it evenly.
+#: Rows of the sample in all; many languages share it evenly, and each keeps one at least.
 SAMPLE = 4096
 LANDMARKS = 256
-#: Labels that are learned: the most frequent ones.
-LANGUAGES = 200
 RIDGE = 1.0
 UNKNOWN = "und"
 #: Score from which a text counts as identified: the predicted language outweighs all others together.  On sf0.01 the
@@ -115,12 +115,14 @@ def fit_rows(packed: list[bytes], labels: list[str], landmarks: int = LANDMARKS,
     languages = tuple(sorted(set(labels)))
     if not languages:
         return Model((), np.zeros((DIMS, 0), np.float32))
-    order = np.argsort(labels, kind="stable")
+    place = {language: i for i, language in enumerate(languages)}
+    of = np.array([place[label] for label in labels])
+    share = np.bincount(of)
+    order = np.argsort(of, kind="stable")
     rank = np.empty(len(labels), np.int64)
-    for language in languages:
-        own = [i for i in order if labels[i] == language]
-        rank[own] = np.arange(len(own))
-    marks = np.lexsort((np.array(labels), rank))[:landmarks]
+    rank[order] = np.arange(len(labels)) - (np.cumsum(share) - share)[of[order]]
+    # Landmarks go round the labels; there is one of every label at least.
+    marks = np.lexsort((of, rank))[: max(landmarks, len(languages))]
 
     def unit(rows) -> np.ndarray:
         bits = np.unpackbits(np.frombuffer(b"".join(packed[i] for i in rows), np.uint8).reshape(-1, DIMS // 8), axis=1)
@@ -129,9 +131,9 @@ def fit_rows(packed: list[bytes], labels: list[str], landmarks: int = LANDMARKS,
     basis = unit(marks)
     k_nm = np.concatenate([unit(range(at, min(at + ROWS, len(packed)))) @ basis.T for at in range(0, len(packed), ROWS)]).astype(np.float64)
     k_mm = k_nm[marks]
-    target = np.array([[1.0 if label == language else -1.0 for language in languages] for label in labels])
-    share = {language: labels.count(language) for language in languages}
-    weight = np.array([1.0 / share[label] for label in labels])[:, None] * len(labels) / len(languages)
+    target = np.full((len(labels), len(languages)), -1.0)
+    target[np.arange(len(labels)), of] = 1.0
+    weight = (1.0 / share[of])[:, None] * len(labels) / len(languages)
     alpha = np.linalg.lstsq(k_nm.T @ (weight * k_nm) + ridge * k_mm, k_nm.T @ (weight * target), rcond=1e-9)[0]
     return Model(languages, basis.T @ alpha.astype(np.float32))
 
@@ -144,14 +146,16 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from a bounded sample of the rows with a label outside the held-out fold."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
+    sizes = ids.groupBy(F.col("lang").alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+    languages = sizes.count()
+    if not languages:
         return fit_rows([], [])
-    per_language = max(1, min(per_language, SAMPLE // len(sizes)))
+    per_language = max(1, min(per_language, SAMPLE // languages))
     # A hash threshold leaves about four times the sample of each language, whatever its size; the window only trims it.
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    below = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 40, (4 * per_language << 40) // n + 1))])
-    chosen = ids.where(draw < F.element_at(below, F.col("lang"))).distinct()
+    below = F.floor(F.lit(float(4 * per_language << 40)) / F.col("__n")) + 1
+    # One row a label: every label is learned, and the model has a column for each.
+    chosen = ids.join(F.broadcast(sizes), F.col("lang") == F.col("__of")).where(draw < below).select("doc_id", "lang").distinct()
     place = Window.partitionBy("lang").orderBy(draw, "doc_id")
     chosen = chosen.withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_language)
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")))
@@ -172,7 +176,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             yield out.filter(keep)
 
     # Repeated rows of a chosen id add nothing: one row an id and language, so the sample stays bounded.
-    sample = small_batches(texts).mapInArrow(pack, "doc_id long, lang string, bits binary")
+    sample = map_small(texts, pack, "doc_id long, lang string, bits binary")
     rows = sample.groupBy("lang", "doc_id").agg(F.min("bits").alias("bits")).collect()
     rows.sort(key=lambda r: (r["lang"], zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     return fit_rows([bytes(r["bits"]) for r in rows], [r["lang"] for r in rows])
@@ -189,8 +193,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"]
             )
 
-    source = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    found = source.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = map_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -211,4 +214,4 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, model: Model |
             keep = [name != UNKNOWN and score >= least for name, score in zip(names, scores, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return map_small(docs, run, docs.schema)
