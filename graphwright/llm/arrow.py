@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,18 +10,24 @@ from pyspark.sql import DataFrame
 
 from graphwright.plans.spread import spread
 
-#: Rows of an Arrow batch sent to Python; texts are kilobytes long, so a batch stays at some megabytes.
+#: Rows handled at a time; texts are kilobytes long, so that what is made of them stays at some megabytes.
 ROWS_PER_BATCH = 500
-#: Bytes after which Spark closes a batch early, for runs of very long texts.
+#: Bytes of results after which a batch is handed on.
 BYTES_PER_BATCH = 16 << 20
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Bound the session's Arrow batches (rows and bytes) before ``df`` is handed to Python; small inputs use all cores."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
-    return spread(df)
+def map_small(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` over slices of at most ``ROWS_PER_BATCH`` rows; small inputs are dealt to all cores.
+
+    Slicing costs no copy and leaves the session's own batch settings alone.
+    """
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_PER_BATCH):
+                yield batch.slice(at, ROWS_PER_BATCH)
+
+    return spread(df).mapInArrow(lambda batches: run(sliced(batches)), schema)
 
 
 def raw_texts(column: pa.Array) -> Iterator[bytes]:

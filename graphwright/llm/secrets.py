@@ -6,7 +6,8 @@ credential word, then a separator with any spaces, then the value, up to its clo
 quote where it is quoted) whose cheapest segmentation into common
 words, dates, repeats, keyboard walks and brute-force characters costs at least
 10 ** ``LEAST_LOG10`` guesses.  The dynamic programme is over prefixes of the
-value; it is linear in the value's length times the longest table word.
+value; it is linear in the value's length times the longest table word.  The words are a short list of
+password words and, where its file is given, the letter tokens of a ranked public vocabulary.
 
 Spans are code points, the whole match, end exclusive; base spans are never
 dropped; a guess span that one base span covers is left out, one that a base span
@@ -20,16 +21,18 @@ ignored, or returned unchanged by ``redact``.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphwright.llm.arrow import small_batches
+from graphwright.llm.arrow import map_small
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -59,8 +62,32 @@ WORDS = (
 #: Rows of a keyboard, for walks. Fixed values.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 
-_RANK = {w: math.log10(i + 2) for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+
+
+class Words:
+    """Guess costs of words: ``WORDS`` first, then the letter tokens of a ranked vocabulary (a ``.tiktoken`` file), most frequent first."""
+
+    def __init__(self, ranks: str | None = None):
+        listed = list(WORDS)
+        if ranks:
+            with open(ranks, "rb") as lines:
+                tokens = (base64.b64decode(line.split()[0]).strip().lower() for line in lines if line.strip())
+                listed += [t.decode() for t in tokens if len(t) > 2 and t.isascii() and t.isalpha()]
+        self.cost: dict[str, float] = {}
+        for word in listed:
+            self.cost.setdefault(word, math.log10(len(self.cost) + 2))
+        self.longest = max(map(len, self.cost))
+
+
+_COMMON = Words()
+
+
+@lru_cache(maxsize=4)
+def words_of(ranks: str | None) -> Words:
+    """The table of a vocabulary file, read once a worker."""
+    return Words(ranks) if ranks else _COMMON
+
+
 _STEPS = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {b + a for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)?\d\d")
 #: log10 guesses of one brute-force character; letters inside a run of letters are word-like and cheaper.
@@ -75,9 +102,17 @@ def _run_ends(value: str, joined) -> list[int]:
     return ends
 
 
-@lru_cache(maxsize=4096)
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Words = _COMMON) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` needs."""
+    return _kept_cost(value, words) if len(value) <= 256 else _cost(value, words)
+
+
+@lru_cache(maxsize=4096)
+def _kept_cost(value: str, words: Words) -> float:
+    return _cost(value, words)
+
+
+def _cost(value: str, words: Words) -> float:
     low, n = value.lower(), len(value)
     if not n:
         return 0.0
@@ -93,8 +128,8 @@ def guess_cost(value: str) -> float:
 
         letter = low[i].isalpha() and (i > 0 and low[i - 1].isalpha() or i + 1 < n and low[i + 1].isalpha())
         offer(i + 1, _LETTER if letter else _CHAR)
-        for end in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:end])
+        for end in range(i + 3, min(n, i + words.longest) + 1):
+            rank = words.cost.get(low[i:end])
             if rank is not None:
                 offer(end, rank + (0.3 if value[i:end] != low[i:end] else 0.0) + 0.3)
         if repeats[i] - i >= 3:
@@ -141,16 +176,20 @@ def credential_values(text: str):
             yield a, b
 
 
-def find_spans(text: str | None) -> list[tuple[int, int, str]]:
+def find_spans(text: str | None, words: Words = _COMMON) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of all spans, by start, then kind as listed in ``KINDS``."""
     if not text:
         return []
     spans = [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     spans += [(*m.span(), "access") for m in ACCESS.finditer(text)]
     spans += [(*m.span(), "hex") for m in HEX.finditer(text)]
-    base = list(spans)
+    # Both lists are in order of their starts: one walk tells how far the base spans that begin before a value reach.
+    base, at, reach = sorted(spans), 0, 0
     for a, b in credential_values(text):
-        if b - a >= LEAST_VALUE and not any(s <= a and b <= e for s, e, _ in base) and guess_cost(text[a:b]) >= LEAST_LOG10:
+        while at < len(base) and base[at][0] <= a:
+            reach = max(reach, base[at][1])
+            at += 1
+        if b - a >= LEAST_VALUE and reach < b and guess_cost(text[a:b], words) >= LEAST_LOG10:
             spans.append((a, b, "guess"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -162,43 +201,48 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 _SCAN = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row per document: counts by kind, digest of the base spans, all spans as text."""
+def scan(docs: DataFrame, ranks: str | None = None) -> DataFrame:
+    """One row per document: counts by kind, digest of the base spans, all spans as text.
+
+    ``ranks``: a ranked vocabulary (``.tiktoken``) whose words the guess cost knows besides ``WORDS``.
+    """
 
     def run(batches):
+        words = words_of(ranks)
         for batch in batches:
-            found = [find_spans(t) for t in batch.column(1).to_pylist()]
-            counts = [[sum(s[2] == kind for s in spans) for spans in found] for kind in KINDS]
+            found = [find_spans(t, words) for t in batch.column(1).to_pylist()]
+            kinds = [Counter(s[2] for s in spans) for spans in found]
+            counts = [[k[kind] for k in kinds] for kind in KINDS]
             base = [hashlib.sha256(_joined([s for s in spans if s[2] != "guess"]).encode()).hexdigest() for spans in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(base, pa.string()), pa.array(map(_joined, found), pa.string())],
                 names=["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"],
             )
 
-    source = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return source.mapInArrow(run, _SCAN)
+    return map_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _SCAN)
 
 
-def mask(text: str | None) -> str | None:
+def mask(text: str | None, words: Words = _COMMON) -> str | None:
     """The text with every span replaced by ``[SECRET]`` (overlapping spans by one)."""
     out, at, end = [], 0, 0
-    for start, stop, _ in find_spans(text):
+    for start, stop, _ in find_spans(text, words):
         if start >= end:
             out += [text[at:start], "[SECRET]"]
         end = at = max(end, stop)
     return "".join([*out, text[at:]]) if out else text
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with secrets masked in ``text``; ``n_chars``, where there is one, follows the new text."""
     place = docs.columns.index("text")
 
     def run(batches):
+        words = words_of(ranks)
         for batch in batches:
-            texts = pa.array([mask(t) for t in batch.column(place).to_pylist()], batch.schema.field(place).type)
+            texts = pa.array([mask(t, words) for t in batch.column(place).to_pylist()], batch.schema.field(place).type)
             yield batch.set_column(place, batch.schema.field(place), texts)
 
-    out = small_batches(docs).mapInArrow(run, docs.schema)
+    out = map_small(docs, run, docs.schema)
     if "n_chars" not in docs.columns:
         return out
     kind = dict(docs.dtypes)["n_chars"]
