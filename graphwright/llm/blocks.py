@@ -8,7 +8,7 @@ sorted rows to numpy in chunks that never split a block pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,22 +19,31 @@ from graphwright.plans.durable import durable
 
 #: Rows of a block; a pair of blocks is compared in one go.
 BLOCK = 2048
+#: Blocks from which a key is refined rather than compared block by block.
+DENSE = 8
 #: Rows that are compared at a time (several groups together).
 CHUNK = 65536
 
 
-def blocked_rows(df: DataFrame, key: str, spread: str, block: int = BLOCK) -> DataFrame:
+def blocked_rows(df: DataFrame, key: str, spread: str, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows with ``gkey, gs, gt, own`` sorted for :func:`stream_blocks`.
 
     ``own`` is the row's block.  Every unordered pair of rows of a key meets under
     at least one (gkey, gs, gt); pairs of one block meet under gs = gt only if
-    callers compare only rows of different ``own`` where gs <> gt.  Keys of one
-    row alone are dropped: they have nothing to be compared with.
+    callers compare only rows of different ``own`` where gs <> gt.
+
+    ``refine`` turns the rows of keys of more than ``DENSE`` blocks into rows of narrower keys under which
+    the same links meet; what is still large then goes by blocks.
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block)
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > BLOCK)
     heavy = durable(
-        sizes.select(F.col(key).alias("__key"), F.ceil(F.col("__n") / block).cast("int").alias("__blocks")), "heavy"
+        sizes.select(F.col(key).alias("__key"), F.ceil(F.col("__n") / BLOCK).cast("int").alias("__blocks")), "heavy"
     )
+    if refine is not None:
+        dense = heavy.where(F.col("__blocks") > DENSE).select("__key")
+        if not dense.isEmpty():
+            light = df.join(dense, df[key] == F.col("__key"), "left_anti")
+            return blocked_rows(light.unionByName(refine(df.join(dense, df[key] == F.col("__key"), "left_semi"))), key, spread)
     blocks = F.coalesce("__blocks", F.lit(1))
     rows = (
         df.join(heavy, df[key] == heavy["__key"], "left")

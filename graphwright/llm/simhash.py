@@ -8,13 +8,15 @@ have it.
 
 Link rule: at most ``MAX_BITS`` (4) differing bits, transitively closed.
 
-Join: the 64 bits are a ring of six segments.  Two fingerprints within four bits
-agree on at least two segments, so candidates meet under a key made of two equal
-segments (15 keys a fingerprint, about 21 bits each: the expected random company
-of a key stays small up to billions of fingerprints).  Candidates then must pass
-the pigeonring test: some segment starts a chain whose running differences stay
-within the proportional budget at every length.  Survivors get the full Hamming
-check.  No link is lost and no bucket is capped.
+Join (pigeonring): the 64 bits are a ring of five segments.  If two fingerprints differ in
+at most four bits, some segment starts a chain whose first l segments together differ
+in at most 4 l / 5 bits, for every l: none in the first, one in the first two, two in
+the first three, and so on.  Candidates are made from chains of two: a key is an equal
+segment together with two equal thirds of the next one (one bit can spoil only one
+third), 15 keys a fingerprint of about 22 bits each.  They are then pruned by the
+chain of three from the key's segment, and only survivors get the full Hamming check.
+Keys of very many fingerprints are refined by a further equal part of the bits they
+leave open (``refined``).  No link is lost and no bucket is capped.
 
 Defined results: null text counts as empty; an empty or word-less text has
 fingerprint 0 and links like any other; repeated rows and equal texts share a
@@ -25,15 +27,13 @@ other columns of the input are ignored.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphwright.llm.arrow import raw_texts, small_batches
+from graphwright.llm.arrow import map_small, raw_texts
 from graphwright.llm.blocks import blocked_rows, merge_labels, stream_blocks
 from graphwright.operators.components import contract_components
 from graphwright.plans.durable import durable
@@ -43,7 +43,11 @@ SHINGLE_WORDS = 4
 SEED = 42
 MAX_BITS = 4
 #: Widths of the ring's segments.
-SEGMENTS = (11, 11, 11, 11, 10, 10)
+SEGMENTS = (13, 13, 13, 13, 12)
+#: Bits that chains of one, two, ... segments may differ in.
+BUDGETS = tuple((i + 1) * MAX_BITS // len(SEGMENTS) for i in range(len(SEGMENTS)))
+#: Parts of a chain's second segment; it may differ in one bit, so all but one part are equal.
+PARTS = 3
 #: Bytes of one text that are split into words at a time.
 TEXT_BLOCK = 1 << 20
 
@@ -103,48 +107,82 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
             )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return small_batches(source).mapInArrow(run, "doc_id long, fp long")
+    return map_small(source, run, "doc_id long, fp long")
+
+
+def _bits(at: int, width: int) -> int:
+    return ((1 << width) - 1) << at
 
 
-def _segment_bounds() -> list[tuple[int, int]]:
+def _segment_masks() -> list[int]:
     ends = np.cumsum(SEGMENTS).tolist()
-    return list(zip([0, *ends[:-1]], SEGMENTS, strict=True))
+    return [_bits(end - width, width) for end, width in zip(ends, SEGMENTS, strict=True)]
+
+
+def _cut(mask: int, parts: int) -> list[int]:
+    """The set bits of ``mask`` in so many parts of nearly equal size."""
+    bits = [i for i in range(64) if mask >> i & 1]
+    return [sum(1 << i for i in bits[len(bits) * p // parts : len(bits) * (p + 1) // parts]) for p in range(parts)]
+
+
+def _key_masks() -> list[int]:
+    """The bits that fingerprints of one key share, by tag; tag // PARTS is the first segment of the key's chain."""
+    ring = _segment_masks()
+    out = []
+    for i, first in enumerate(ring):
+        second = ring[(i + 1) % len(ring)]
+        out += [first | (second & ~part) for part in _cut(second, PARTS)]
+    return out
+
+
+def _chain_masks(length: int) -> np.ndarray:
+    """By tag, the bits of the first ``length`` segments of the key's chain."""
+    ring = _segment_masks()
+    chains = [sum(ring[(i + k) % len(ring)] for k in range(length)) for i in range(len(ring))]
+    return np.repeat(np.array(chains, np.uint64), PARTS)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _key(tag: Column, *parts: Column) -> Column:
+    """A key with its tag in the lowest four bits."""
+    return F.xxhash64(tag, *parts).bitwiseAND(F.lit(-16)).bitwiseOR(tag.cast("long"))
 
 
 def ring_keys(fp: Column) -> Column:
-    """Array of the keys under which candidates meet: every pair of equal segments, tagged by the pair."""
-    parts = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in _segment_bounds()]
-    free = len(SEGMENTS) - MAX_BITS
-    keys = []
-    for tag, chosen in enumerate(combinations(range(len(SEGMENTS)), free)):
-        key = F.lit(tag).cast("long")
-        for i in chosen:
-            key = F.shiftleft(key, SEGMENTS[i]).bitwiseOR(parts[i])
-        keys.append(key)
-    return F.array(*keys)
+    """Array of the keys under which candidates meet: the chains of two segments within budget."""
+    return F.array(*[_key(F.lit(tag), fp.bitwiseAND(F.lit(_signed(mask)))) for tag, mask in enumerate(_key_masks())])
+
+
+def refined(rows: DataFrame) -> DataFrame:
+    """Rows ``(key, fp)`` under narrower keys: at most ``MAX_BITS`` of five parts of the open bits differ, so one is equal."""
+    parts = MAX_BITS + 1
+    masks = [[_signed(m) for m in _cut(~mask & _bits(0, 64), parts)] for mask in _key_masks()]
+    tag = F.col("key").bitwiseAND(F.lit(15)).cast("int")
+    own = F.element_at(F.array(*[F.array(*map(F.lit, row)) for row in masks]), tag + 1)
+    part = F.transform(own, lambda m, i: _key(tag, F.col("key"), i, F.col("fp").bitwiseAND(m)))
+    return rows.select(F.explode(part).alias("key"), "fp")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def ring_links(a: np.ndarray, b: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
-    """Which pairs of fingerprints are within ``most`` bits: chain test first, then the whole distance."""
+def ring_links(a: np.ndarray, b: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Which pairs of fingerprints that meet under keys of ``tags`` are linked: the chains of two and three segments first."""
     diff = a ^ b
-    m = len(SEGMENTS)
-    parts = np.stack([_popcount((diff >> np.uint64(at)) & np.uint64((1 << width) - 1)) for at, width in _segment_bounds()])
-    passed = np.zeros(len(a), bool)
-    for start in range(m):
-        alive, total = ~passed, np.zeros(len(a), np.int64)
-        for length in range(1, m + 1):
-            total += parts[(start + length - 1) % m]
-            alive &= total <= length * most // m
-        passed |= alive
-    passed[passed] = _popcount(diff[passed]) <= most
-    return passed
-
-
-def _star_links(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    alive = np.arange(len(diff))
+    for length in (2, 3):
+        alive = alive[_popcount(diff[alive] & _chain_masks(length)[tags[alive]]) <= BUDGETS[length - 1]]
+    alive = alive[_popcount(diff[alive]) <= MAX_BITS]
+    out = np.zeros(len(diff), bool)
+    out[alive] = True
+    return out
+
+
+def _star_links(keys: np.ndarray, fps: np.ndarray, tags: np.ndarray) -> np.ndarray:
     """Labels by row position: rows of one key that are linked share the least position. Rows are sorted by key."""
     labels = np.arange(len(fps))
     left = np.arange(len(fps))
@@ -157,7 +195,7 @@ def _star_links(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
             return labels
         open_ = left[labels[left] != labels[left + shift]]
         if len(open_):
-            hit = open_[ring_links(fps[open_], fps[open_ + shift])]
+            hit = open_[ring_links(fps[open_], fps[open_ + shift], tags[open_])]
             if len(hit):
                 merge_labels(labels, hit, hit + shift)
 
@@ -165,13 +203,13 @@ def _star_links(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
 def fingerprint_links(classes: DataFrame) -> DataFrame:
     """``(u, v)``: stars that connect all distinct fingerprints ``fp`` linked by the rule, linear in the rows."""
     keyed = classes.select(F.explode(ring_keys(F.col("fp"))).alias("key"), "fp")
-    blocks = blocked_rows(keyed, "key", "fp")
+    blocks = blocked_rows(keyed, "key", "fp", refined)
 
     def run(batches):
         for table in stream_blocks(batches):
             group = table["group"]
             fps = table["fp"].view(np.uint64)
-            labels = _star_links(group, fps)
+            labels = _star_links(group, fps, table["gkey"] & 15)
             moved = np.flatnonzero(labels != np.arange(len(labels)))
             if len(moved):
                 yield pa.RecordBatch.from_arrays(
