@@ -8,8 +8,8 @@ however many documents there are.  Each step takes the longest remaining piece,
 runs a bitset subset-sum programme over the available lengths, and removes the
 combination that fills the sequence most; a combination is reused as long as the
 counts last, so there are at most as many steps as lengths.  Pieces get their
-place by rank within their length: ranks are computed in hash cells, so no length
-(and no group of equal documents) is ever sorted in one task.
+place by rank within their length: ranks are computed in cells by the hash of a row
+number, so no length (and no group of equal documents or ids) is ever sorted in one task.
 
 Defined results: null text counts as empty and is packed as its terminator alone;
 ties and repeated rows are packed as separate pieces; an empty table gives no
@@ -34,7 +34,7 @@ from graphwright.plans.durable import durable
 from graphwright.plans.ranking import gapless_rank
 
 CAPACITY = 2048
-CELLS = 256
+CELLS = 1024
 #: Characters of one text that are encoded at a time.
 TEXT_BLOCK = 1 << 18
 
@@ -179,10 +179,10 @@ def _places(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 
 
 def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to materialised pieces."""
+    """Adds ``sequence_id`` and ``offset`` to materialised pieces with a ``row`` number."""
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = _places(plan_bins(histogram, capacity))
-    cells = cut.withColumn("__cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(CELLS)).cast("int"))
+    cells = cut.withColumn("__cell", F.pmod(F.xxhash64("row"), F.lit(CELLS)).cast("int")).drop("row")
     ranked = gapless_rank(cells, ["length"], "__cell", ["doc_id", "piece", "ids_crc32"], "__rank")
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("__rank").alias("rank"))
 
@@ -207,4 +207,4 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
-    return assign(durable(pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    return assign(durable(pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity)
