@@ -6,16 +6,17 @@ members vote with their current shards; unsettled members ask to move to the
 open shard with most of their neighbours; a shard accepts requests, whole groups
 first, up to what is left of its quota; accepted documents are settled.  A group
 that finds its shard full votes again among the open ones, so that only groups
-larger than a quota and groups at a full shard's brim are cut.  What is left
-after ``ROUNDS`` rounds and all documents without links fill the remaining
-places in group order: row counts end at most one apart (law ``rows``).
+larger than a quota and groups at a full shard's brim are cut.  Rounds go on until
+every linked document is settled; each round settles all requests or fills a shard, so
+there are at most one more than shards.  Documents without links then fill the
+remaining places: row counts end at most one apart (law ``rows``).
 
 Votes and offsets are aggregates with at most shards x cells rows; requests are
-ranked in hash cells, so a group that holds a third of all rows is never
-gathered in one task.
+ranked in hash cells, of which a group has one per ``1 / PIECES`` of all rows, so a group
+that holds a third of them is never gathered in one task.
 
 Defined results: null text is nobody's neighbour and has size 8, crc32 0; repeated
-rows are placed one by one; ties go to the shard of least seeded hash; an empty
+rows, also many of one or of no ``doc_id``, are placed one by one; ties go to the shard of least seeded hash; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -29,8 +30,8 @@ from graphwright.plans.ranking import gapless_rank
 from graphwright.plans.skew import attach
 
 SHARDS = 24
-ROUNDS = 6
-CELLS, PARTS = 512, 16
+#: Hash cells of the groups; cells in all that the largest groups are cut into; and room for these in a cell's number.
+CELLS, PIECES, ROOM = 512, 2048, 4096
 
 
 def _pick(values: dict[int, int], key: Column, default: int = 0) -> Column:
@@ -38,22 +39,26 @@ def _pick(values: dict[int, int], key: Column, default: int = 0) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key), F.lit(default))
 
 
-def _cell(group: Column, row: Column) -> Column:
-    """Hash cell of a row: its group's cell first, then a part of it, so that groups stay together but never whole in one cell."""
-    return (F.pmod(F.xxhash64(group), F.lit(CELLS)) * PARTS + F.pmod(F.xxhash64(row, F.lit(3)), F.lit(PARTS))).cast("int")
+def _cell(group: Column, size: Column, total: int) -> Column:
+    """Hash cell of a row: its group's cell first, then, in groups of more than total / PIECES rows, a part of it.
+
+    Small groups lie whole in one cell; a group's parts follow its share of the rows.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(size * PIECES / max(total, 1)))
+    return (F.pmod(F.xxhash64(group), F.lit(CELLS)) * ROOM + F.pmod(F.xxhash64("__row", F.lit(3)), parts)).cast("int")
 
 
 def _counts(df: DataFrame, key: str) -> dict[int, int]:
     return {r[0]: r[1] for r in df.groupBy(key).count().collect()}
 
 
-def place_rows(rows: DataFrame, order: list[str], shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """Add ``shard`` to ``rows``, which have ``doc_id`` and ``grp`` (string; null: no links).
+def place_rows(rows: DataFrame, order: list[str], shards: int = SHARDS) -> DataFrame:
+    """Add ``shard`` and a row number ``__row`` to ``rows``, which have ``doc_id`` and ``grp`` (string; null: no links).
 
     ``order`` lists columns that tell rows apart inside a cell.  Row counts of the
     shards end at most one apart; cut links are kept few as described above.
     """
-    rows = durable(rows, "rows")
+    rows = durable(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
     total = rows.count()
     target = {j: total // shards + (j < total % shards) for j in range(shards)}
     shared = rows.where("grp is not null").groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -62,11 +67,9 @@ def place_rows(rows: DataFrame, order: list[str], shards: int = SHARDS, rounds:
     label = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shards)).cast("int")
     marked = durable(attach(rows, shared, "grp", "n").withColumn("label", F.when(F.col("linked"), label)).drop("linked"), "marked")
     free, open_rows, settled = marked.where("label is null").drop("label"), marked.where("label is not null"), []
-    quota = dict(target)
-    for turn in range(rounds):
+    quota, turn = dict(target), 0
+    while not open_rows.isEmpty():
         room = {j: q for j, q in quota.items() if q > 0}
-        if not room or open_rows.isEmpty():
-            break
         # A vote counts where the voter's shard is open; groups without such a vote draw an open shard.
         places = F.array(*[F.lit(j) for j in sorted(room)])
         draw = F.element_at(places, (F.pmod(F.xxhash64("grp", F.lit(turn)), F.lit(len(room))) + 1).cast("int"))
@@ -77,8 +80,8 @@ def place_rows(rows: DataFrame, order: list[str], shards: int = SHARDS, rounds:
             .groupBy("grp").agg(F.max(F.struct(weight.alias("w"), F.xxhash64("grp", "label").alias("h"), "label")).alias("best"), F.sum("count").alias("n"))
             .select("grp", "n", F.when(F.col("best.w") > 0, F.col("best.label")).otherwise(draw).alias("want"))
         )
-        asked = attach(open_rows, durable(best, "best"), "grp", "n").where("want is not null")
-        asked = asked.withColumn("__cell", _cell(F.col("grp"), F.col("doc_id")))
+        best = durable(best.withColumn("__size", F.col("n")), "best")
+        asked = attach(open_rows, best, "grp", "n").withColumn("__cell", _cell(F.col("grp"), F.col("__size"), total)).drop("__size")
         ranked = gapless_rank(asked, ["want"], "__cell", ["grp", *order], "__rank")
         ranked = durable(ranked.withColumn("__in", F.col("__rank") < _pick(room, F.col("want"))), "asked")
         moved = ranked.where("__in").withColumn("label", F.col("want")).select(*marked.columns)
@@ -86,10 +89,9 @@ def place_rows(rows: DataFrame, order: list[str], shards: int = SHARDS, rounds:
         open_rows = ranked.where("not __in").select(*marked.columns)
         for j, n in _counts(ranked.where("__in"), "want").items():
             quota[j] -= n
-    rest = open_rows.drop("label").withColumn("__free", F.lit(0)).unionByName(free.withColumn("__free", F.lit(1)))
-    key = F.coalesce("grp", F.lit(""))
-    rest = rest.withColumn("__cell", _cell(key, F.col("doc_id")) + F.col("__free") * CELLS * PARTS).withColumn("__all", F.lit(0))
-    rest = gapless_rank(rest, ["__all"], "__cell", [key, *order], "__rank")
+        turn += 1
+    rest = free.withColumn("__cell", F.pmod(F.xxhash64("__row"), F.lit(PIECES)).cast("int")).withColumn("__all", F.lit(0))
+    rest = gapless_rank(rest, ["__all"], "__cell", order, "__rank")
     upto, ends = 0, []
     for j in range(shards):
         upto += quota[j]
@@ -103,7 +105,7 @@ def place_rows(rows: DataFrame, order: list[str], shards: int = SHARDS, rounds:
     return placed
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` for every row of ``docs``."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -112,8 +114,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
         F.md5(F.col("text").cast("binary")).alias("grp"),
     )
     order = ["doc_id", "text_crc32", "size"]
-    placed = durable(place_rows(rows, order, shards, rounds).drop("grp"), "placed")
-    placed = placed.withColumn("__cell", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(CELLS)).cast("int"))
+    placed = durable(place_rows(rows, order, shards).drop("grp"), "placed")
+    placed = placed.withColumn("__cell", F.pmod(F.xxhash64("__row", F.lit(5)), F.lit(CELLS)).cast("int"))
     return gapless_rank(placed, ["shard"], "__cell", order, "slot").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
