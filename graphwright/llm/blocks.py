@@ -75,19 +75,23 @@ def _arrays(table: pa.Table) -> dict[str, np.ndarray]:
 
 
 def stream_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Chunks of whole block pairs as numpy columns, with ``group`` numbering the pairs; lone rows are dropped."""
+    """Chunks of whole block pairs as numpy columns, with ``group`` numbering the pairs; lone rows are dropped.
+
+    Binary columns become matrices.  Where their width differs, a column ``dims`` tells it; a key has one width,
+    and a chunk is handed out width by width.
+    """
     held: list[pa.RecordBatch] = []
-    rows = 0
+    waiting = 0
 
     def ready(last: bool):
-        nonlocal held, rows
+        nonlocal held, waiting
         table = pa.Table.from_batches(held)
         ids = np.stack([table.column(c).to_numpy() for c in ("gkey", "gs", "gt")])
         new = np.r_[True, (ids[:, 1:] != ids[:, :-1]).any(axis=0)]
         group = np.cumsum(new) - 1
         end = len(group) if last else int(np.flatnonzero(new)[-1])
         held = [b for b in table.slice(end).to_batches() if b.num_rows]
-        rows = len(group) - end
+        waiting = len(group) - end
         group = group[:end]
         again = np.zeros(end, bool)
         if end:
@@ -95,14 +99,18 @@ def stream_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.nd
             again[1:] |= same
             again[:-1] |= same
         if again.any():
-            arrays = _arrays(table.slice(0, end).filter(pa.array(again)))
-            arrays["group"] = group[again]
-            yield arrays
+            rows, numbers = table.slice(0, end).filter(pa.array(again)), group[again]
+            widths = rows.column("dims").to_numpy() if "dims" in rows.column_names else np.zeros(len(numbers), np.int64)
+            for width in np.unique(widths):
+                own = widths == width
+                arrays = _arrays(rows.filter(pa.array(own)))
+                arrays["group"] = numbers[own]
+                yield arrays
 
     for batch in batches:
         held.append(batch)
-        rows += batch.num_rows
-        if rows >= CHUNK:
+        waiting += batch.num_rows
+        if waiting >= CHUNK:
             yield from ready(False)
     if held:
         yield from ready(True)

@@ -17,11 +17,13 @@ so no list of pairs is ever shuffled.
 Recall against brute force at the threshold itself is about 0.98 (``tests/llm``
 holds it above 0.95); it rises quickly above.  No pair below the threshold is linked.
 
-Defined results: vectors that are null, zero, of another length than most, or hold
-null or non-finite components link with nothing and are their own component;
-equal vectors link; repeated rows count as vectors of their own; a null ``vec_id``
-keeps its row without links to it being named; an empty table gives no rows; other
-columns are ignored.
+Defined results: vectors that are null, empty, zero, or hold null or non-finite
+components link with nothing and are their own component; vectors of different lengths
+never link, those of one length do, however many lengths there are; any finite magnitude
+counts (vectors are divided by their largest component before their norm); equal
+vectors link; repeated rows count as vectors of their own; a row with a null ``vec_id``
+links and is counted, but names no component (one of such rows alone has a null one) and
+is not kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,7 +70,8 @@ def cells(unit: np.ndarray) -> np.ndarray:
     out = np.empty((len(unit), TABLES, PROBES), np.int64)
     for t in range(TABLES):
         y = unit @ frames[t]
-        codes, costs = np.full((len(unit), 1), t, np.int64), np.zeros((len(unit), 1))
+        # Vectors of another length are in cells of their own.
+        codes, costs = np.full((len(unit), 1), t + TABLES * unit.shape[1], np.int64), np.zeros((len(unit), 1))
         for s in range(SUBSPACES):
             points, cost = near_points(y[:, 8 * s : 8 * s + 8], NEIGHBOURS)
             hashed = (np.rint(2 * points).astype(np.int64) * mix[t, 8 * s : 8 * s + 8]).sum(axis=2)
@@ -88,15 +91,13 @@ def sketches(unit: np.ndarray) -> np.ndarray:
 
 def _unit(raw: np.ndarray, kind: str) -> np.ndarray:
     values = np.ascontiguousarray(raw).view(kind).astype(np.float64)
+    values /= np.abs(values).max(axis=1, keepdims=True)
     return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
 
 
 def valid_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """``(vec_id, vec)``: the components as bytes, null where the vector cannot link."""
     source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
-    sizes = source.where("embedding is not null").groupBy(F.size("embedding").alias("dims")).count()
-    most = sizes.orderBy(F.desc("count"), F.desc("dims")).limit(1).collect()
-    dims = most[0]["dims"] if most else 0
 
     def run(batches):
         for batch in batches:
@@ -104,9 +105,9 @@ def valid_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
             for value in batch.column(1):
                 items = value.values
                 vec = None
-                if items is not None and len(items) == dims and items.null_count == 0 and dims:
+                if items is not None and len(items) and items.null_count == 0:
                     x = items.to_numpy(zero_copy_only=False)
-                    if np.isfinite(x).all() and np.isfinite(norm := (x.astype(np.float64) ** 2).sum()) and norm > 0:
+                    if np.isfinite(x).all() and x.any():
                         vec = (x + 0.0).tobytes()
                 out.append(vec)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vec"])
@@ -114,9 +115,13 @@ def valid_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return source.mapInArrow(run, "vec_id long, vec binary")
 
 
-def _rows(batch: pa.RecordBatch, kind: str) -> np.ndarray:
-    raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-    return _unit(raw, kind)
+def _by_length(batch: pa.RecordBatch, kind: str):
+    """``(reps, unit vectors)`` of each length in a batch of (rep, vec)."""
+    reps, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+    widths = np.fromiter(map(len, raw), np.int64, len(raw))
+    for width in np.unique(widths):
+        own = np.flatnonzero(widths == width)
+        yield reps[own], _unit(np.frombuffer(b"".join(raw[i] for i in own), np.uint8).reshape(len(own), -1), kind)
 
 
 def _placed(classes: DataFrame, kind: str) -> DataFrame:
@@ -124,18 +129,16 @@ def _placed(classes: DataFrame, kind: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = _rows(batch, kind)
-            codes, signs = cells(unit), sketches(unit)
-            for t in range(TABLES):
-                for p in range(PROBES):
-                    key = pa.array(codes[:, t, p])
-                    table, home = pa.array(np.full(len(unit), t, np.int32)), pa.array(np.full(len(unit), p == 0))
-                    yield pa.RecordBatch.from_arrays(
-                        [key, table, home, batch.column(0), pa.array(signs[:, 0]), pa.array(signs[:, 1])],
-                        names=["key", "tab", "home", "rep", "s1", "s2"],
-                    )
+            for reps, unit in _by_length(batch, kind):
+                codes, signs = cells(unit), sketches(unit)
+                for t in range(TABLES):
+                    for p in range(PROBES):
+                        key = pa.array(codes[:, t, p])
+                        table, home = pa.array(np.full(len(unit), t, np.int32)), pa.array(np.full(len(unit), p == 0))
+                        yield pa.RecordBatch.from_arrays(
+                            [key, table, home, pa.array(reps), pa.array(signs[:, 0]), pa.array(signs[:, 1])],
+                            names=["key", "tab", "home", "rep", "s1", "s2"],
+                        )
 
     return classes.select("rep", "vec").mapInArrow(run, "key long, tab int, home boolean, rep long, s1 long, s2 long")
 
@@ -168,7 +171,7 @@ def _candidates(classes: DataFrame, kind: str) -> DataFrame:
 
     places = blocked_rows(_placed(classes, kind), "key", "rep").mapInArrow(run, "key long, tab int, home boolean, rep long")
     # A row of a large cell is seen in several block pairs.
-    return durable(places.distinct(), "places").join(classes, "rep").select("key", "tab", "home", "rep", "vec", "n")
+    return durable(places.distinct(), "places").join(classes, "rep").select("key", "tab", "home", "rep", "vec", "n", F.octet_length("vec").alias("dims"))
 
 
 def _pairs(group: np.ndarray, start: np.ndarray, stop: np.ndarray, unit: np.ndarray, rows: dict[str, np.ndarray], least: float):
@@ -243,16 +246,17 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors``; see the module's docstring."""
     kind = "f8" if "double" in dict(vectors.dtypes)[embedding] else "f4"
     base = durable(valid_vectors(vectors, vec_id, embedding), "vectors")
-    classes = base.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = durable(classes.where("rep is not null"), "classes")
+    classes = base.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    # Numbers of the classes are settled once this is written.
+    classes = durable(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     linked = durable(class_links(classes, kind, least), "linked")
     roots = durable(contract_components(linked.select(F.col("rep").alias("u"), F.col("root").alias("v"))), "roots")
-    names = roots.join(roots.groupBy("root").agg(F.min("node").alias("component_id")), "root")
-    names = names.select(F.col("node").alias("rep"), "component_id")
+    named = roots.withColumnRenamed("node", "rep").join(classes.select("rep", "least"), "rep")
+    names = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("rep", "component_id")
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     facts = classes.join(counts, "rep", "left").join(names, "rep", "left").where("n > 1 or links is not null")
     facts = durable(
-        facts.select("vec", F.col("n").alias("rows"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")),
+        facts.select("vec", F.col("n").alias("rows"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")),
         "facts",
     )
     out = attach(base, facts, "vec", "rows")
