@@ -317,9 +317,35 @@ def test_recall_at_the_threshold():
     assert met.mean() > 0.95
 
 
+def test_vectors_of_every_length_and_magnitude_link(spark):
+    rows = [(1, [1.0, 2.0], 0), (2, [1.0, 2.0], 0), (3, [2.0, 4.0], 0)] + [(10 + i, [float(i == j) for j in range(4)], 0) for i in range(4)]
+    rows += [(20, [1e200, 2e200, 0.0, 0.0, 3e200], 0), (21, [2e200, 4e200, 0.0, 0.0, 6e200], 0), (22, [1e-200, 2e-200, 0.0, 0.0, 3e-200], 0), (23, [5e-324] * 5, 0), (24, [1e308] * 5, 0)]
+    rows += [(30, [1.0], 0), (31, [7.0], 0), (32, [-1.0], 0), (None, [1.0, 2.0], 0), (None, [9.0] * 6, 0), (None, [9.0] * 6, 0), (None, [3.0] * 7, 0), (40, [3.0] * 7, 0)]
+    out = neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out if r.vec_id is not None}
+    assert found[1] == (3, 1, True) and found[2] == found[3] == (3, 1, False) and all(found[10 + i] == (0, 10 + i, True) for i in range(4))
+    assert found[20] == (2, 20, True) and found[21] == found[22] == (2, 20, False) and found[23] == (1, 23, True) and found[24] == (1, 23, False)
+    assert found[30] == (1, 30, True) and found[31] == (1, 30, False) and found[32] == (0, 32, True) and found[40] == (1, 40, True)
+    assert sorted((r.n_links, r.component_id or 0, r.kept) for r in out if r.vec_id is None) == [(1, 0, False), (1, 0, False), (1, 40, False), (3, 1, False)]
+
+
+@pytest.mark.parametrize("dims", [64, 768])
+def test_recall_of_the_whole_path_at_the_threshold(spark, dims):
+    rng = np.random.default_rng(dims)
+    a = rng.normal(size=(600, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(600, dims))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9001 * a + math.sqrt(1 - 0.9001**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(2 * i + k, v.tolist()) for i in range(600) for k, v in enumerate((a[i], b[i]))]
+    out = by_id(neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "vec_id")
+    assert np.mean([out[2 * i + 1].component_id == 2 * i for i in range(600)]) > 0.95
+    assert all(r.component_id in (i, i - i % 2) for i, r in out.items())
+
+
 def test_odd_vectors(spark):
     one = [1.0] * 64
-    rows = [(1, one, 0, 0, 0), (2, one, 0, 0, 0), (2, one, 0, 0, 0), (3, None, 0, 0, 0), (4, [0.0] * 64, 0, 0, 0), (5, [None] + [1.0] * 63, 0, 0, 0), (6, [float("nan")] * 64, 0, 0, 0), (7, [float("inf")] + [1.0] * 63, 0, 0, 0), (8, [1.0], 0, 0, 0), (9, [], 0, 0, 0), (None, None, 0, 0, 0)]
+    rows = [(1, one, 0, 0, 0), (2, one, 0, 0, 0), (2, one, 0, 0, 0), (3, None, 0, 0, 0), (4, [0.0] * 64, 0, 0, 0), (5, [None] + [1.0] * 63, 0, 0, 0), (6, [float("nan")] * 64, 0, 0, 0), (7, [float("inf")] + [1.0] * 63, 0, 0, 0), (8, [1.0] * 63, 0, 0, 0), (9, [], 0, 0, 0), (None, None, 0, 0, 0)]
     out = neardup_vectors.near_duplicates(_vectors(spark, rows)).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in out) == sorted([(1, 2, 1), (2, 2, 1), (2, 2, 1), (0, 0, 0), *[(i, 0, i) for i in range(3, 10)]])
     assert neardup_vectors.near_duplicates(_vectors(spark, [])).count() == 0
@@ -555,6 +581,55 @@ def test_linked_documents_meet(spark):
     assert cut <= 12 and hot <= 12  # 300 rows need at least 8 shards of 37 or 38
 
 
+def _propagated(rows, shards, label, draw, tie, cell):
+    """Label propagation as the module's docstring tells it, in plain Python; ``rows``: (doc_id, group)."""
+    sizes = collections.Counter(g for _, g in rows if g)
+    at = {i: label[i] for i, g in rows if g and sizes[g] > 1}
+    group = {i: g for i, g in rows if i in at}
+    quota = [len(rows) // shards + (j < len(rows) % shards) for j in range(shards)]
+    open_, placed, turn = set(at), {}, 0
+    while open_:
+        room = [j for j in range(shards) if quota[j] > 0]
+        wants = {}
+        for g in {group[i] for i in open_}:
+            votes = collections.Counter(at[i] for i in at if group[i] == g)
+            best = max(votes, key=lambda j: (votes[j] if j in room else 0, tie[g, j]))
+            wants[g] = best if best in room else room[draw[g, turn] % len(room)]
+        for j in room:
+            asked = sorted((i for i in open_ if wants[group[i]] == j), key=lambda i: (cell[group[i]], group[i], i))
+            for i in asked[: quota[j]]:
+                at[i] = placed[i] = j
+                open_.discard(i)
+            quota[j] -= min(quota[j], len(asked))
+        turn += 1
+        assert turn <= shards + 1
+    return placed, quota
+
+
+@pytest.mark.parametrize("hot", [0, 40])
+def test_sharding_equals_plain_propagation(spark, hot, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECES", 1)  # groups in one cell each, so that the order of requests is plain
+    rows = [(i, f"g{i % 17}" if i < 90 else "hot" if i < 90 + hot else None) for i in range(160)]
+    frame = spark.createDataFrame(rows, "doc_id long, grp string")
+    groups = sorted({g for _, g in rows if g})
+    hashes = spark.createDataFrame([(g, j) for g in groups for j in range(30)], "grp string, j int").select(
+        "grp", "j", F.xxhash64("grp", "j").alias("tie"), F.xxhash64("grp", "j").alias("draw"), F.pmod(F.xxhash64("grp"), F.lit(sharding.CELLS)).alias("cell")
+    ).collect()
+    label = {r.doc_id: r.x for r in frame.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(7)).cast("int").alias("x")).collect()}
+    draw = {(r.grp, r.j): r.draw for r in hashes}
+    placed, left = _propagated(rows, 7, label, draw, {(r.grp, r.j): r.tie for r in hashes}, {r.grp: r.cell for r in hashes})
+    out = {r.doc_id: r.shard for r in sharding.place_rows(frame, ["doc_id"], 7).collect()}
+    assert {i: out[i] for i in placed} == placed
+    counts = collections.Counter(out.values())
+    assert len(out) == 160 and max(counts.values()) - min(counts.values()) <= 1 and sum(left) == 160 - len(placed)
+
+
+def test_sharding_of_one_group_and_one_id(spark):
+    rows = [(1, "same")] * 500 + [(None, "same")] * 100
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    _check_shards(out, 600)
+
+
 def test_sharding_odd_rows(odd, empty):
     rows = sharding.shard_documents(odd).collect()
     _check_shards(rows, 13)
