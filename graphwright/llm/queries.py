@@ -43,12 +43,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(_table(spark, sf_dir, "pages"))
-
-
-def op8_urls_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op8_urls, whose SQL stops after eight rounds, but propagated until nothing that matters is left."""
-    return urlfilter.judge(_table(spark, sf_dir, "pages"), rounds=None)
+    """The pages hold no link to another host, so the host graph is that of the names (``parents``)."""
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), parents=True)
 
 
 def op9_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +65,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash,
         "op7_sharding": op7_sharding,
         "op8_urls": op8_urls,
-        "op8_urls_converged": op8_urls_converged,
         "op9_toolcalls": op9_toolcalls,
         "op10_secrets": op10_secrets,
     }
@@ -77,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express the operator; the others hash, learn or search, and tests hold them against brute force."""
-    return {"op8_urls": urlfilter.oracle_sql(), "op9_toolcalls": toolcalls.oracle_sql()}
+    return {"op8_urls": urlfilter.oracle_sql(parents=True), "op9_toolcalls": toolcalls.oracle_sql()}

@@ -10,8 +10,15 @@ exceeds its trust and reaches ``THRESHOLD`` of what a wholly blocked host withou
 links has.  Scores are not normalised to a sum, so they do not depend on how many
 hosts there are.
 
-Host edges: absolute ``href`` links of the page, and links both ways between
-a host and the host named without its first label, while three labels remain.
+Host edges: links of the pages to other hosts, weighted by their number.  A link is an
+``href`` in any letter case, quoted or not, with an ``http`` or ``https`` url or one that
+begins with ``//``; relative links stay on their host and make no edge.  With ``parents``
+there are also edges both ways between a host and the host named without its first
+label, while three labels remain; that is a statement about names, not about links.
+
+Both scores are those of the converged propagation: rounds go on until all later ones
+together would add less than ``LEFT`` to any score.  Hubs have their links dealt over
+several places, to which their one score is sent.
 
 Defined results: null urls and urls without ``://`` have empty host and path, no
 rule, and the method's verdict of the empty host; null html has no links; ties go
@@ -25,15 +32,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.plans.durable import durable
+from graphwright.plans.skew import attach
 
 #: (host, path, verdict); fixed values of the production rule list.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING = 0.85
-ROUNDS = 8
-#: What all rounds left out by a converged propagation may add to any score; scores are rounded at 1e-9.
-LEFT = 1e-10
+#: What later rounds may add to any score; scores are rounded at 1e-6.
+LEFT = 1e-8
+#: Rounds of one job; links of a hub that are dealt to one place.
+CHAIN, PER_PLACE = 8, 4096
 THRESHOLD = 0.5
-HREF = r"""href=["'][Hh][Tt][Tt][Pp][Ss]?://([^/?#"'<> ]+)"""
+HREF = r"""(?i)(?:^|[\s"'/])href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'<>\s]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,105 +80,107 @@ def judged_by_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """``(src, dst, w)``: links between different hosts with their number, as counted over all pages."""
+def host_edges(pages: DataFrame, parents: bool = False) -> DataFrame:
+    """``(src, dst, w)``: links between different hosts with their number, as counted over all pages; see the module's docstring."""
     links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("dst"))
-    links = links.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
-    up = pages.select(host_of(F.col("url")).alias("src")).distinct().select("src", F.regexp_extract("src", r"^[^.]+\.([^.]+\.[^.]+\..+)$", 1).alias("dst"))
-    up = up.where("dst <> ''").select("src", "dst", F.lit(1).cast("long").alias("w"))
-    both = links.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    return both.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    links = links.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst")).where("src <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
+    if parents:
+        up = pages.select(host_of(F.col("url")).alias("src")).distinct().select("src", F.regexp_extract("src", r"^[^.]+\.([^.]+\.[^.]+\..+)$", 1).alias("dst"))
+        up = up.where("dst <> ''").select("src", "dst", F.lit(1).cast("long").alias("w"))
+        links = links.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    return links.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+
 
+def _ways(seeds: DataFrame, edges: DataFrame, damping: float) -> DataFrame:
+    """``(node, place, to, to_places, p, stays)``: where a node's score goes, cut by ``place``, and one row a node that keeps its total.
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS) -> DataFrame:
-    """``(host, trust, distrust)`` after ``rounds`` of propagation (None: until what is left to pass on is below ``LEFT``).
+    A node is a host in one of the two propagations.
+    """
+    forth = edges.select(F.concat(F.lit("t:"), "src").alias("node"), F.concat(F.lit("t:"), "dst").alias("to"), "w")
+    back = edges.select(F.concat(F.lit("d:"), "dst").alias("node"), F.concat(F.lit("d:"), "src").alias("to"), "w")
+    ways = durable(forth.unionByName(back), "ways")
+    out = ways.groupBy("node").agg(F.sum("w").alias("out"), F.count(F.lit(1)).alias("n"))
+    out = durable(out.withColumn("places", F.ceil(F.col("n") / PER_PLACE).cast("int")), "out")
+    seeded = seeds.select(F.explode(F.array(F.concat(F.lit("t:"), "host"), F.concat(F.lit("d:"), "host"))).alias("node"))
+    every = seeded.unionByName(ways.select("node")).unionByName(ways.select(F.col("to").alias("node"))).distinct()
+    nodes = durable(every.join(out.select("node", "places"), "node", "left").select("node", F.coalesce("places", F.lit(1)).alias("places")), "nodes")
+    ways = attach(ways, out, "node", "n").withColumn("place", F.pmod(F.xxhash64("to", F.lit(9)), F.col("places")).cast("int"))
+    fans = ways.groupBy("to").agg(F.count(F.lit(1)).alias("n")).join(nodes.withColumnRenamed("node", "to"), "to").withColumnRenamed("places", "to_places")
+    ways = attach(durable(ways.drop("places"), "placed"), durable(fans, "fans"), "to", "n")
+    ways = ways.select("node", "place", "to", "to_places", (F.lit(damping) * F.col("w") / F.col("out")).alias("p"), F.lit(0.0).alias("stays"))
+    keeps = nodes.select("node", F.lit(0).alias("place"), F.col("node").alias("to"), F.col("places").alias("to_places"), F.lit(0.0).alias("p"), F.lit(1.0).alias("stays"))
+    return durable(ways.unionByName(keeps), "all-ways")
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """``(host, trust, distrust)`` of the converged propagation.
 
     ``seeds``: (host, trust, distrust) in [0, 1]; hosts of ``edges`` without a seed
     have 0.  Each round adds what the last one passed on: trust over each host's
-    out-links in proportion to ``w``, distrust over its in-links.
+    out-links in proportion to ``w``, distrust over its in-links.  A row of the state is
+    (node, what it passes on next, its total so far).
     """
-    ways = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "w").unionByName(
-        edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "w")
-    )
-    out = ways.groupBy("kind", "a").agg(F.sum("w").alias("all"))
-    ways = durable(ways.join(out, ["kind", "a"]).select("kind", "a", "b", (F.lit(damping) * F.col("w") / F.col("all")).alias("p")), "ways")
-    flow = seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, s)")).where("s > 0")
-    flow = durable(flow.select("kind", F.col("host").alias("a"), (F.lit(1 - damping) * F.col("s")).alias("s")), "flow")
-    if rounds is None:
-        return _converged(flow, ways, damping)
-    parts = [flow]
-    for _ in range(rounds):
-        flow = durable(
-            flow.join(ways, ["kind", "a"]).groupBy("kind", F.col("b").alias("__b")).agg(F.sum(F.col("s") * F.col("p")).alias("s"))
-            .select("kind", F.col("__b").alias("a"), "s"),
-            "flow",
-        )
-        if flow.isEmpty():
-            break
-        parts.append(flow)
-    total = parts[0]
-    for part in parts[1:]:
-        total = total.unionByName(part)
-    score = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("s")).otherwise(0.0)).alias(kind)
-    return total.groupBy(F.col("a").alias("host")).agg(score("trust"), score("distrust"))
-
-
-def _converged(flow: DataFrame, ways: DataFrame, damping: float) -> DataFrame:
-    """Scores when all later rounds together would add less than ``LEFT``, over all hosts."""
-    state = flow.withColumn("total", F.col("s"))
-    while (state.agg(F.sum("s")).first()[0] or 0.0) * damping / (1 - damping) >= LEFT:
-        passed = state.where("s > 0").join(ways, ["kind", "a"]).select("kind", F.col("b").alias("a"), (F.col("s") * F.col("p")).alias("s"))
-        both = passed.withColumn("total", F.col("s")).unionByName(state.select("kind", "a", F.lit(0.0).alias("s"), "total"))
-        state = durable(both.groupBy("kind", "a").agg(F.sum("s").alias("s"), F.sum("total").alias("total")), "state")
-    score = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("total")).otherwise(0.0)).alias(kind)
-    return state.groupBy(F.col("a").alias("host")).agg(score("trust"), score("distrust"))
-
-
-def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int | None = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+    ways = _ways(seeds, edges, damping)
+    first = seeds.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"{k[0]}:"), "host").alias("node"), F.col(k).alias("s")) for k in ("trust", "distrust")])).alias("x"))
+    first = first.select("x.node", (F.lit(1 - damping) * F.col("x.s")).alias("s")).where("s > 0")
+    places = ways.where("stays > 0").select("node", F.col("to_places").alias("places"))
+    state = durable(first.join(places, "node").select("node", "places", "s", F.lit(0.0).alias("total")), "state")
+    while (state.agg(F.sum("s")).first()[0] or 0.0) / (1 - damping) >= LEFT:
+        ahead = state
+        for _ in range(CHAIN):
+            sent = ahead.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).join(ways, ["node", "place"])
+            ahead = sent.groupBy(F.col("to").alias("node")).agg(
+                F.first("to_places").alias("places"), F.sum(F.col("s") * F.col("p")).alias("s"), F.sum((F.col("total") + F.col("s")) * F.col("stays")).alias("total")
+            )
+        state = durable(ahead, "state", replaces=state)
+    score = lambda kind: F.sum(F.when(F.col("node").startswith(f"{kind[0]}:"), F.col("total") + F.col("s")).otherwise(0.0)).alias(kind)
+    return state.groupBy(F.substr("node", F.lit(3)).alias("host")).agg(score("trust"), score("distrust"))
+
+
+def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, threshold: float = THRESHOLD, parents: bool = False) -> DataFrame:
     """``(page_id, host, path, rule, verdict, trust, distrust)`` for every row of ``pages``."""
-    ruled = judged_by_rules(pages, rules)
+    ruled = durable(judged_by_rules(pages, rules), "ruled")
     share = lambda verdict: (F.count_if(F.col("rule_verdict") == verdict) / F.count(F.lit(1))).alias
-    seeds = durable(ruled.groupBy("host").agg(share("allow")("trust"), share("block")("distrust")), "seeds")
-    scores = propagate(seeds, host_edges(pages), damping, rounds)
+    seeds = durable(ruled.groupBy("host").agg(share("allow")("trust"), share("block")("distrust"), F.count(F.lit(1)).alias("n")), "seeds")
+    scores = propagate(seeds, durable(host_edges(pages, parents), "edges"), damping)
     # Rounded before the comparison, so that the order of a sum cannot tip a verdict.
-    scores = scores.select(F.col("host").alias("__host"), F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
-    scores = durable(scores, "hosts")
+    scores = scores.select("host", F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"))
+    scores = durable(seeds.select("host", "n").join(scores, "host", "left"), "hosts")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    blocked = (distrust > trust) & (distrust >= F.round(F.lit(threshold * (1 - damping)), 9))
-    return ruled.join(scores, ruled["host"] == scores["__host"], "left").select(
+    blocked = (distrust > trust) & (distrust >= F.round(F.lit(threshold * (1 - damping)), 6))
+    return attach(ruled, scores, "host", "n").select(
         "page_id", "host", "path", "rule",
         F.coalesce("rule_verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"),
         trust.alias("trust"), distrust.alias("distrust"),
     )
 
 
-def oracle_sql(table: str = "pages", rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL of :func:`judge`, one common table a round."""
+def oracle_sql(table: str = "pages", rules=RULES, damping: float = DAMPING, threshold: float = THRESHOLD, parents: bool = False) -> str:
+    """DuckDB SQL of :func:`judge`, by so many rounds that nothing is left to pass on."""
+    rounds = 250
     ordered = sorted(rules, key=lambda r: -len(r[0] + r[1]))
     fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN" for h, p, _ in ordered]
     rule = "CASE " + " ".join(f"{f} '{h}{p}'" for f, (h, p, _) in zip(fits, ordered, strict=True)) + " END"
     verdict = "CASE " + " ".join(f"{f} '{v}'" for f, (_, _, v) in zip(fits, ordered, strict=True)) + " END"
     lower = lambda x: f"translate({x}, '{_UPPER}', '{_LOWER}')"
     href = HREF.replace("'", "''")
-    steps = "".join(
-        f", f{i} AS (SELECT f.kind, b AS a, sum(s * p) AS s FROM f{i - 1} f JOIN ways w ON f.kind = w.kind AND f.a = w.a GROUP BY 1, 2)"
-        for i in range(1, rounds + 1)
-    )
-    union = " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(rounds + 1))
+    named = " UNION ALL SELECT src, dst, 1 FROM up WHERE dst <> '' UNION ALL SELECT dst, src, 1 FROM up WHERE dst <> ''" if parents else ""
     return f"""
-WITH cut AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM {table}),
+WITH RECURSIVE cut AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM {table}),
 parts AS (SELECT page_id, html, {lower("regexp_extract(rest, '^[^/?#]*', 0)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 ruled AS (SELECT *, {rule} AS rule, {verdict} AS v FROM parts),
 links AS (SELECT host AS src, {lower("unnest(regexp_extract_all(html, '" + href + "', 1))")} AS dst FROM parts),
 up AS (SELECT DISTINCT host AS src, regexp_extract(host, '^[^.]+\\.([^.]+\\.[^.]+\\..+)$', 1) AS dst FROM parts),
-pairs AS (SELECT src, dst, count(*) AS w FROM links GROUP BY 1, 2 UNION ALL SELECT src, dst, 1 FROM up WHERE dst <> '' UNION ALL SELECT dst, src, 1 FROM up WHERE dst <> ''),
+pairs AS (SELECT src, dst, count(*) AS w FROM links WHERE src <> '' GROUP BY 1, 2{named}),
 edges AS (SELECT src, dst, sum(w) AS w FROM pairs WHERE src <> dst GROUP BY 1, 2),
 bothways AS (SELECT 'trust' AS kind, src AS a, dst AS b, w FROM edges UNION ALL SELECT 'distrust', dst, src, w FROM edges),
 ways AS (SELECT kind, a, b, {damping} * w / sum(w) OVER (PARTITION BY kind, a) AS p FROM bothways),
 seeds AS (SELECT host, count(*) FILTER (v = 'allow') / count(*) AS trust, count(*) FILTER (v = 'block') / count(*) AS distrust FROM ruled GROUP BY 1),
-f0 AS (SELECT 'trust' AS kind, host AS a, {1 - damping} * trust AS s FROM seeds WHERE trust > 0 UNION ALL SELECT 'distrust', host, {1 - damping} * distrust FROM seeds WHERE distrust > 0){steps},
-scores AS (SELECT a AS host, round(sum(CASE WHEN kind = 'trust' THEN s ELSE 0 END), 9) AS trust, round(sum(CASE WHEN kind = 'distrust' THEN s ELSE 0 END), 9) AS distrust FROM ({union}) GROUP BY 1)
+flow AS (SELECT 0 AS turn, 'trust' AS kind, host AS a, {1 - damping} * trust AS s FROM seeds WHERE trust > 0
+  UNION ALL SELECT 0, 'distrust', host, {1 - damping} * distrust FROM seeds WHERE distrust > 0
+  UNION ALL SELECT turn + 1, kind, b, sum(s * p) FROM flow JOIN ways USING (kind, a) WHERE turn < {rounds} GROUP BY turn, kind, b),
+scores AS (SELECT a AS host, round(sum(CASE WHEN kind = 'trust' THEN s ELSE 0 END), 6) AS trust, round(sum(CASE WHEN kind = 'distrust' THEN s ELSE 0 END), 6) AS distrust FROM flow GROUP BY 1)
 SELECT page_id, ruled.host, path, rule,
-  coalesce(v, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) AND coalesce(distrust, 0) >= round({threshold * (1 - damping)}, 9) THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(v, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) AND coalesce(distrust, 0) >= round({threshold * (1 - damping)}, 6) THEN 'block' ELSE 'allow' END) AS verdict,
   coalesce(trust, 0.0)::DOUBLE AS trust, coalesce(distrust, 0.0)::DOUBLE AS distrust
 FROM ruled LEFT JOIN scores ON ruled.host = scores.host"""
