@@ -48,7 +48,7 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolcalls.link_calls(*toolcalls.turns_as_calls(_table(spark, sf_dir, "conversations")))
+    return toolcalls.link_calls(*toolcalls.read_calls(_table(spark, sf_dir, "conversations")))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
