@@ -727,21 +727,81 @@ def test_queries_with_sql(spark, name):
 # tool calls
 
 
+MARKED = [
+    (1, 0, "user", "hi"),
+    (1, 1, "assistant", json.dumps({"tool_calls": [
+        {"id": "a", "name": "reply", "arguments": {"turn": 1, "prompt": 'x "y"\n\f\x01\x1f/é\u2028'}}, {"id": "b", "name": "reply", "arguments": {"turn": "1", "odd": 1, "more": True, "a\tb": None}, "depends_on": ["a"]},
+        {"id": "e", "name": "reply", "arguments": {"prompt": 5, "turn": 7, "min_chars": {"deep": [1, {"k": "v\b"}, None], "z": "q"}}}]}, ensure_ascii=False)),
+    (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": "done"})), (1, 3, "tool", json.dumps({"tool_call_id": "orphan", "content": "?"})),
+    (1, 4, "assistant", json.dumps({"tool_calls": [{"id": "c", "name": "nope", "arguments": {}, "depends_on": ["a", "b"]}, {"id": "d", "name": "reply", "arguments": {}, "depends_on": ["d"]}, {"id": "f", "name": "reply", "arguments": [], "depends_on": ["d"]}]})),
+    (1, 5, "assistant", json.dumps({"tool_calls": [{"id": "g", "name": "reply", "arguments": {"prompt": "p", "turn": 2}, "depends_on": ["nowhere"]}, {"id": 7, "name": "reply"}, "text"]})),
+    (1, 6, "tool", json.dumps({"tool_call_id": "b", "content": {"k": 1}})), (1, 7, "tool", json.dumps({"tool_call_id": "c", "content": None})),
+    (None, None, None, None), (2, 0, "assistant", "{broken"), (2, 1, "user", "no markup here"), (2, 2, "assistant", "{\"a\": 1}"), (3, 0, "system", "be\fkind"), (3, 1, "user", "q"), (3, 2, "assistant", None),
+]
+
+
+def _calls_by_hand(messages, results):
+    """Typed checks, topological levels and canonical JSON of parsed markup, in plain Python."""
+    out, tools = {}, {"reply": {"prompt": (str, True), "turn": (int, True), "min_chars": (int, False)}, "configure": {"prompt": (str, True), "turn": (int, True)}}
+    calls = [(c, turn, k) for c, turn, role, text in messages if role == "assistant" and text and text.startswith('{"tool_calls"') for k in json.loads(text)["tool_calls"] if isinstance(k, dict) and isinstance(k.get("id"), str)]
+    needs = {k["id"]: k.get("depends_on", []) for _, _, k in calls}
+
+    def level(i, path=()):
+        if i in path or i not in needs:
+            return None
+        below = [level(n, (*path, i)) for n in needs[i]]
+        return None if None in below else 1 + max(below, default=-1)
+
+    for _, turn, k in calls:
+        args, name = k.get("arguments") if isinstance(k.get("arguments"), dict) else None, k["name"]
+        errors = [] if name in tools else ["tool"]
+        errors += ["arguments"] if args is None else []
+        for key, (kind, required) in tools.get(name, {}).items() if args is not None else []:
+            if key not in args:
+                errors += [f"missing:{key}"] if required else []
+            elif type(args[key]) is not kind:
+                errors.append(f"type:{key}")
+        errors += [f"unknown:{x}" for x in sorted(set(args or ()) - set(tools[name]))] if name in tools else []
+        body = {"arguments": args, "id": k["id"], "name": name, "result": results.get(k["id"])}
+        out[k["id"]] = (turn, level(k["id"]), ",".join(errors), body)
+    return out
+
+
 def test_tool_calls(spark):
-    call = lambda *calls: json.dumps({"tool_calls": list(calls)})
-    rows = [
-        (1, 0, "user", "hi"),
-        (1, 1, "assistant", call({"id": "a", "name": "reply", "arguments": {"prompt": 'x "y"\n', "turn": "1"}}, {"id": "b", "name": "reply", "arguments": {"turn": "z", "odd": "1"}, "depends_on": ["a"]})),
-        (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": "done"})), (1, 3, "tool", json.dumps({"tool_call_id": "orphan", "content": "?"})),
-        (1, 4, "assistant", call({"id": "c", "name": "nope", "arguments": {}, "depends_on": ["a", "b"]}, {"id": "d", "name": "reply", "arguments": {}, "depends_on": ["d"]})),
-        (None, None, None, None), (2, 0, "assistant", "{broken"),
-    ]
-    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = by_id(toolcalls.link_calls(*toolcalls.parse_messages(messages)), "call_id")
-    assert {i: (r.level, r.result_turn, r.errors) for i, r in out.items()} == {
-        "a": (0, 2, ""), "b": (1, None, "missing:prompt,type:turn,unknown:odd"), "c": (2, None, "tool"), "d": (None, None, "missing:prompt,missing:turn"),
-    }
-    assert out["a"].json == '{"arguments":{"prompt":"x \\"y\\"\\n","turn":1},"id":"a","name":"reply","result":"done"}' and json.loads(out["b"].json)["result"] is None
+    messages = spark.createDataFrame(MARKED, "conv_id long, turn long, role string, text string")
+    out = by_id(toolcalls.link_calls(*toolcalls.parse_messages(messages)).where("call_id is not null"), "call_id")
+    truth = _calls_by_hand(MARKED, {"a": "done", "b": '{"k":1}', "c": None})
+    assert set(out) == set(truth) == set("abcdefg")
+    for i, (turn, level, errors, body) in truth.items():
+        assert (out[i].call_turn, out[i].level, out[i].errors, out[i].valid) == (turn, level, errors, errors == "")
+        assert json.loads(out[i].json) == body
+        text = json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert out[i].json == re.sub(r"\\u00..", lambda m: "\\u" + m[0][2:].upper(), text)
+    assert {i: r.result_turn for i, r in out.items() if r.result_turn} == {"a": 2, "b": 6, "c": 7}
+
+
+def test_both_readings_equal_the_sql(spark):
+    plain = [r for r in MARKED if not (r[0] == 1 and r[1] in (4, 5))]  # lists, numbers and strings as calls have no SQL here
+    plain.append((1, 4, "assistant", json.dumps({"tool_calls": [{"id": "c", "name": "nope", "arguments": {}, "depends_on": ["a", "b"]}, {"id": "d", "name": "reply", "arguments": {}, "depends_on": ["d"]}, {"id": "f", "name": "reply", "arguments": {}, "depends_on": ["d", "nowhere"]}]})))
+    plain += [(4, t, "user" if t % 2 else "assistant", f"turn {t}") for t in range(60)] + [(4, 60, "system", "s")] + plain[-2:]
+    messages = spark.createDataFrame(plain, "conv_id long, turn long, role string, text string")
+    found = toolcalls.link_calls(*toolcalls.read_calls(messages))
+    db = duckdb.connect()
+    import pyarrow as pa
+
+    db.register("conversations", pa.table(dict(zip(["conv_id", "turn", "role", "text"], map(list, zip(*plain, strict=True)), strict=True))))
+    rel = db.sql(toolcalls.oracle_sql())
+    columns = list(rel.columns)
+    assert sorted(map(str, ([r[c] for c in columns] for r in found.collect()))) == sorted(map(str, (list(r) for r in rel.fetchall())))
+
+
+def test_a_hot_conversation_is_spread(spark, monkeypatch):
+    from graphwright.plans import skew
+
+    monkeypatch.setattr(skew, "PER_SALT", 10)
+    rows = [(1, 0, "system", "s")] + [(1, t, "user", "same") for t in range(1, 300)] + [(1, 5, "user", "same")] * 100 + [(2, 1, "user", "x")]
+    out = toolcalls.link_calls(*toolcalls.read_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert len(out) == 401 and {r.level for r in out if r.tool == "reply" and r.conv_id == 1} == {1}
 
 
 def test_tool_calls_odd_rows(spark):
@@ -749,6 +809,7 @@ def test_tool_calls_odd_rows(spark):
     messages = spark.createDataFrame([(*r, "k", 1) for r in rows], "conv_id long, turn long, role string, text string, call_id string, level int")
     out = toolcalls.link_calls(*toolcalls.turns_as_calls(messages)).collect()
     assert len(out) == 6 and {(r.result_turn, r.errors) for r in out if r.conv_id == 1 and r.call_turn == 0} == {(1, "type:prompt")}
+    assert {(r.result_turn, r.errors, r.level) for r in out if r.conv_id is None} == {(None, "", None)} and {r.errors for r in out if r.call_id is None} == {"type:turn"}
     assert {r.level for r in out if r.conv_id == 2} == {0, 1}
     assert toolcalls.link_calls(*toolcalls.turns_as_calls(messages.limit(0))).count() == 0
 
