@@ -67,7 +67,8 @@ def detect_language(text: Column) -> Column:
     def detect(values: pd.Series) -> pd.Series:
         return values.map(_score)
 
-    return detect(F.substring(text, 1, 8 * SAMPLE))
+    # Blanks are collapsed before the text is cut, so that no run of them can use the sample up.
+    return detect(F.substring(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 1, SAMPLE + 1))
 
 
 def prompt_for(prompts: dict[str, dict[str, str]], key: str, language: str) -> str:

@@ -82,23 +82,22 @@ def best_split_point(text: Column, target: int) -> Column:
     """Where to split near ``target``: the nearest sentence end within 100 characters, else word end, else ``target``."""
     sentence, word = re.compile(r"[.!?]\s+"), re.compile(r"\s+")
 
-    def one(value: str | None) -> int | None:
-        if value is None:
-            return None
-        if len(value) <= target:
-            return len(value)
-        low, high = max(0, target - 100), min(len(value), target + 100)
+    low = max(0, target - 100)
+
+    def one(window: str) -> int:
         for pattern in (sentence, word):
-            ends = [m.end() + low for m in pattern.finditer(value[low:high])]
+            ends = [m.end() + low for m in pattern.finditer(window)]
             if ends:
                 return min(ends, key=lambda e: abs(e - target))
         return target
 
     @F.pandas_udf("int")
-    def split_at(values: pd.Series) -> pd.Series:
-        return values.map(one).astype("Int32")
+    def split_at(windows: pd.Series) -> pd.Series:
+        return windows.map(one, na_action="ignore").astype("Int32")
 
-    return split_at(text)
+    # Only the characters around the target go to Python.
+    size = F.length(text)
+    return F.when(size <= target, size).when(size > target, split_at(F.substring(text, low + 1, target + 100 - low)))
 
 
 def strip_markdown(text: Column) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from graphwright.operators import rules
 from graphwright.operators.graph import KG
-from graphwright.operators.traverse import find_cycles
+from graphwright.operators.traverse import all_cycles
+from graphwright.plans.durable import durable
 
 
 def contradictions(kg: KG, least: float = 0.5, strict: bool = False) -> DataFrame:
@@ -30,6 +31,9 @@ def property_conflicts(kg: KG, least: float = 0.5) -> DataFrame:
     """Entities of one name and type whose common attributes differ: one row per unordered pair and attribute."""
     sure = kg.nodes.where(F.col("confidence") >= least)
     values = sure.select("id", "name", "entity_type", "confidence", "ord", F.explode("attributes").alias("key", "value"))
+    # Only attributes on which entities of a name differ are compared.
+    mixed = values.groupBy("name", "entity_type", "key").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high")
+    values = values.join(mixed.select("name", "entity_type", "key"), ["name", "entity_type", "key"], "left_semi")
     side = lambda n: values.withColumnsRenamed({c: f"{c}{n}" for c in ("id", "confidence", "ord", "value")})
     both = side(1).join(side(2), ["name", "entity_type", "key"])
     return both.where("(ord1 < ord2 or (ord1 = ord2 and id1 < id2)) and value1 <> value2").select(
@@ -39,14 +43,14 @@ def property_conflicts(kg: KG, least: float = 0.5) -> DataFrame:
 
 
 def circular_hierarchies(kg: KG, least: float = 0.5, longest: int = 4, strict: bool = False) -> DataFrame:
-    """Elementary cycles of 2 to ``longest`` edges in is-a, part-of and contains, each once from its least entity.
+    """Cycles in is-a, part-of and contains, each from its least entity: ``(relation_type, start, nodes, length, severity, confidence)``.
 
-    ``(relation_type, start, nodes, length, severity, confidence)``; the bound on the length is
-    required because cycles can be exponentially many.
+    All elementary ones of 2 to ``longest`` edges (there can be exponentially many longer ones), and one
+    shortest of every component that has only longer ones, so that no cyclic component is missed.
     """
     typed = kg.rels.where(F.col("confidence") >= least).withColumn("__type", rules.canonical_type(F.col("relation_type"), strict))
     edges = typed.where(F.col("__type").isin(*rules.HIERARCHY)).select(F.col("__type").alias("kind"), F.col("source_entity").alias("s"), F.col("target_entity").alias("t")).distinct()
-    found = find_cycles(edges, longest)
+    found = all_cycles(edges, longest)
     return found.select(
         F.col("kind").alias("relation_type"), "start", "nodes", "length", F.lit("high").alias("severity"), F.lit(0.9).cast("double").alias("confidence")
     )
@@ -118,9 +122,17 @@ def cycle_actions(kg: KG, cycles: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def resolve_cycles(kg: KG, least: float = 0.5, longest: int = 4) -> KG:
-    """Remove the least certain relationship of every cycle."""
-    gone = cycle_actions(kg, circular_hierarchies(kg, least, longest)).select(F.col("removed").alias("id")).distinct()
-    return replace(kg, entities=kg.nodes, relationships=kg.rels.join(gone, "id", "left_anti"), unique=True)
+    """Remove the least certain relationship of every cycle, until no cycle of any length is left.
+
+    A pair linked by several relationships of a type keeps its cycle until the last of them is gone.
+    """
+    gone = None
+    while True:
+        here = kg if gone is None else replace(kg, entities=kg.nodes, relationships=kg.rels.join(gone, "id", "left_anti"), unique=True)
+        more = durable(cycle_actions(here, circular_hierarchies(here, least, longest)).select(F.col("removed").alias("id")).distinct(), "gone")
+        if more.isEmpty():
+            return here
+        gone = more if gone is None else durable(gone.unionByName(more), "gone", replaces=gone)
 
 
 def resolve_conflicts(kg: KG, least: float = 0.5, longest: int = 4) -> tuple[DataFrame, KG]:
@@ -132,10 +144,10 @@ def resolve_conflicts(kg: KG, least: float = 0.5, longest: int = 4) -> tuple[Dat
         F.when(first, F.col("id2")).otherwise(F.col("id1")).alias("removed"),
     ).distinct()
     broken = cycle_actions(kg, cycles).select(F.lit("break_cycle").alias("action_type"), F.col("start").alias("kept"), "removed")
+    # The actions are those on the cycles found; the graph is rid of all.
     actions = contradiction_actions(found).unionByName(merged).unionByName(broken)
     out = resolve_property_conflicts(resolve_contradictions(kg, found), props)
-    gone = broken.select(F.col("removed").alias("id")).distinct()
-    return actions, replace(out, relationships=out.rels.join(gone, "id", "left_anti"))
+    return actions, resolve_cycles(out, least, longest)
 
 
 def strongest_per_pair(kg: KG) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 from difflib import SequenceMatcher
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.operators.graph import KG
+from graphwright.operators.provider import Provider
 from graphwright.operators.registry import merge_groups, normalize_name, repoint
 from graphwright.plans.durable import durable
 
@@ -92,12 +94,38 @@ def star_groups(pairs: DataFrame) -> DataFrame:
     return out.select(F.col("b.id").alias("id"), F.col("center.id").alias("center"))
 
 
-def resolve(kg: KG, threshold: float = THRESHOLD, measure: str = "ratio", decisions: DataFrame | None = None, repoint_relationships: bool = True) -> tuple[KG, DataFrame, DataFrame]:
+def model_decisions(members: DataFrame, provider: Callable[[], Provider]) -> DataFrame:
+    """``(center, merge_decision, canonical_name, confidence)`` by a model's answer for each group of ``members`` (``center`` and entity columns).
+
+    One call a group, one provider a partition; an answer that fails or is no object gives no row.
+    """
+    line = F.concat(F.lit("- ["), "id", F.lit("] "), F.coalesce("name", F.lit("")), F.lit(" ("), F.coalesce("entity_type", F.lit("")), F.lit("): "), F.coalesce("context", F.lit("")))
+    asked = members.groupBy("center").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line"), F.col("name").alias("name")))).alias("rows"))
+    asked = asked.select("center", F.array_join("rows.line", "\n").alias("prompt"), F.filter("rows.name", lambda n: n.isNotNull()).alias("names"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = provider()
+        for batch in batches:
+            out = []
+            for center, prompt, names in zip(batch["center"], batch["prompt"], batch["names"], strict=True):
+                try:
+                    answer = model.generate_json(prompt, {"task": "coreference", "names": list(names)})
+                except (ValueError, KeyError, OSError):
+                    continue
+                if isinstance(answer, dict):
+                    out.append((center, bool(answer.get("merge", answer.get("merge_decision", True))), answer.get("canonical_name"), answer.get("confidence")))
+            yield pd.DataFrame(out, columns=["center", "merge_decision", "canonical_name", "confidence"]).astype({"confidence": "Float64", "merge_decision": "boolean"})
+
+    return asked.mapInPandas(run, "center string, merge_decision boolean, canonical_name string, confidence double")
+
+
+def resolve(kg: KG, threshold: float = THRESHOLD, measure: str = "ratio", decisions: DataFrame | None = None, repoint_relationships: bool = True, provider: Callable[[], Provider] | None = None) -> tuple[KG, DataFrame, DataFrame]:
     """(graph, groups, id map) after merging coreferent entities.
 
     ``groups`` has the shape ``(entity_ids, canonical_name, merge_decision, reason, confidence)``.
     By rule every group merges under its most certain name; ``decisions``
     ``(center, merge_decision, canonical_name, confidence)`` overrides that per group.
+    A ``provider`` is asked once a group and its answers are such decisions; a group it fails on keeps the rule.
     A merged entity's confidence is the decision's.  Groups that are not merged
     stay apart.  Relationships follow the id map unless that is switched off.
     """
@@ -108,6 +136,8 @@ def resolve(kg: KG, threshold: float = THRESHOLD, measure: str = "ratio", decisi
     rule = listed.groupBy("center").agg(
         F.array_sort(F.collect_list("id")).alias("entity_ids"), F.max_by("name", F.struct("confidence", -F.col("ord"))).alias("canonical_name"), F.max("confidence").alias("confidence")
     )
+    if decisions is None and provider is not None:
+        decisions = durable(model_decisions(listed, provider), "asked")
     if decisions is not None:
         side = decisions.select("center", F.col("merge_decision").alias("__m"), F.col("canonical_name").alias("__n"), F.col("confidence").alias("__c"))
         rule = rule.join(side, "center", "left").select(

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,15 @@ from graphwright.schema import json_text
 
 #: Entity types that are asked for by default. Fixed values.
 CONCEPTS = {
-    "en": ("Person", "Organization", "Location", "Event", "Concept", "Process", "Object", "Technology", "Method", "Theory", "Field", "Term"),
-    "ru": ("Человек", "Организация", "Место", "Событие", "Понятие", "Процесс", "Объект", "Технология", "Метод", "Теория", "Область", "Термин"),
+    "en": ("Person", "Organization", "Location", "Concept", "Process", "Method", "Technology", "Event", "Problem", "Solution", "Theory", "Argument"),
+    "ru": ("Персона", "Организация", "Местоположение", "Концепция", "Процесс", "Метод", "Технология", "Событие", "Проблема", "Решение", "Теория", "Аргумент"),
 }
 RELATIONS = ("is-a", "part-of", "contains", "causes", "related-to", "works-for", "has-skill", "required-for", "precedes", "similar-to")
 
+#: Characters of a context by which it meets texts, and how many contexts are looked for where the texts are.
+GRAM, FEW_QUOTES = 24, 100_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
 _RAW_ENTITIES = "segment_id string, place int, name string, entity_type string, context string, attributes map<string,string>, confidence double"
 _RAW_RELATIONS = "segment_id string, place int, source_name string, target_name string, relation_type string, context string, bidirectional boolean, strength double, confidence double"
 
@@ -72,27 +78,57 @@ def entities_in_segments(segments: DataFrame, entities: DataFrame, strict: bool
     """``(segment_id, entity_id, name)``: entities one of whose contexts occurs in the segment's text.
 
     Contexts of an entity are its lines; ``strict`` takes the whole text as one.  A
-    context can only occur where it begins, so candidates meet on a hash of its
-    first ``GRAM`` characters, and containment is checked on the candidates.
+    context can only occur where it begins, so candidates meet on a rolling hash of its
+    first ``GRAM`` characters, of which a text has one a character, found in one pass over
+    it; containment is checked on the candidates.  Up to ``FEW_QUOTES`` hashes are
+    looked for where the texts are; of more, the texts' hashes go to them.
     """
-    gram = 24
     quotes = F.array("context") if strict else F.split("context", "\n")
     held = entities.where("coalesce(context, '') <> ''").select(F.col("id").alias("entity_id"), "name", F.explode(quotes).alias("quote")).where("quote <> ''").distinct()
     held = durable(held, "quotes")
-    long_ = held.where(F.length("quote") >= gram).withColumn("h", F.xxhash64(F.substring("quote", 1, gram)))
-    starts = F.transform(F.sequence(F.lit(1), F.length("text") - gram + 1), lambda i: F.xxhash64(F.substr(F.col("text"), i, F.lit(gram))))
+    long_ = held.where(F.length("quote") >= GRAM)
+    long_ = durable(long_.join(_hashed(long_.select(F.substring("quote", 1, GRAM).alias("id")).distinct(), "id", None).withColumnRenamed("id", "head"), F.substring("quote", 1, GRAM) == F.col("head")).drop("head"), "heads")
     texts = segments.select(F.col("id").alias("segment_id"), "text")
-    grams = texts.where(F.length("text") >= gram).select("segment_id", F.explode(F.array_distinct(starts)).alias("h"))
-    wanted = grams.join(long_.select("h").distinct(), "h", "left_semi")
+    heads = long_.select("h").distinct()
+    few = [r["h"] for r in heads.limit(FEW_QUOTES + 1).collect()]
+    grams = _hashed(texts.select(F.col("segment_id").alias("id"), "text"), "text", np.array(few, np.int64) if len(few) <= FEW_QUOTES else None).withColumnRenamed("id", "segment_id")
+    wanted = grams if len(few) <= FEW_QUOTES else grams.join(heads, "h", "left_semi")
     pairs = wanted.join(long_, "h").join(texts, "segment_id").where(F.contains("text", "quote")).select("segment_id", "entity_id", "name")
     # Quotes shorter than the gram cannot be hashed; they are few and meet on their first word.
     word = lambda c: F.explode(F.array_distinct(F.split(c, r"[^\p{L}\p{N}]+")))
-    short = held.where(F.length("quote") < gram).withColumn("w", F.regexp_extract("quote", r"[\p{L}\p{N}]+", 0))
+    short = held.where(F.length("quote") < GRAM).withColumn("w", F.regexp_extract("quote", r"[\p{L}\p{N}]+", 0))
     tokens = texts.select("segment_id", word(F.col("text")).alias("w"))
     brief = tokens.join(short.where("w <> ''"), "w").join(texts, "segment_id").where(F.contains("text", "quote")).select("segment_id", "entity_id", "name")
     return pairs.unionByName(brief).distinct()
 
 
+def _gram_hashes(text: str) -> np.ndarray:
+    """Distinct hashes of all stretches of ``GRAM`` characters: differences of one running sum, each shifted to its start."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(codes) < GRAM:
+        return np.zeros(0, np.int64)
+    up = np.cumprod(np.r_[np.uint64(1), np.full(len(codes) - 1, _BASE)])
+    down = np.cumprod(np.r_[np.uint64(1), np.full(len(codes) - 1, np.uint64(pow(int(_BASE), -1, 1 << 64)))])
+    sums = np.r_[np.uint64(0), np.cumsum((codes + np.uint64(1)) * up)]
+    hashed = (sums[GRAM:] - sums[:-GRAM]) * down[: len(codes) - GRAM + 1]
+    return np.unique(hashed ^ (hashed >> np.uint64(31))).view(np.int64)
+
+
+def _hashed(rows: DataFrame, column: str, among: np.ndarray | None) -> DataFrame:
+    """``(id, h)``: the distinct hashes of ``column``, where given only those ``among`` the given ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, text in zip(batch.column("id").to_pylist(), batch.column(column), strict=True):
+                found = _gram_hashes(text.as_py() or "")
+                if among is not None:
+                    found = found[np.isin(found, among)]
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array([id_] * len(found), pa.string()), pa.array(found)], names=["id", "h"])
+
+    return rows.mapInArrow(run, "id string, h long")
+
+
 def extract_raw_relationships(segments: DataFrame, present: DataFrame, provider: Callable[[], Provider] = RuleProvider) -> DataFrame:
     """Provider answers for segments with the names of the entities present in each."""
     names = present.groupBy("segment_id").agg(F.array_sort(F.collect_set("name")).alias("names"))

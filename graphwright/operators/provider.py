@@ -29,6 +29,7 @@ def approximate_tokens(text: str) -> int:
 
 
 _WORD = re.compile(r"[^\W\d_][\w'-]*")
+_LINE = re.compile(r"^- \[(.*?)\] (.*?) --(.*?)--> (.*)$", re.M)
 _NAME = re.compile(r"(?:[A-ZА-ЯÀ-Þ][\w'-]+)(?: [A-ZА-ЯÀ-Þ][\w'-]+)*")
 
 
@@ -47,7 +48,10 @@ class RuleProvider:
 
     def generate_json(self, prompt: str, schema: dict[str, Any], system: str | None = None) -> dict[str, Any]:
         task = schema.get("task")
-        return {"entities": self._entities, "relationships": self._relationships, "summary": self._summary}[task](prompt, schema)
+        answers = {
+            "entities": self._entities, "relationships": self._relationships, "summary": self._summary, "segments": self._segments, "verify": self._verify, "coreference": self._coreference,
+        }
+        return answers[task](prompt, schema)
 
     def count_tokens(self, text: str) -> int:
         return approximate_tokens(text)
@@ -71,6 +75,35 @@ class RuleProvider:
             out += [{"source": a, "target": b, "type": "related_to", "context": sentence, "confidence": 0.6} for (_, a), (_, b) in zip(here, here[1:], strict=False)]
         return {"relationships": out}
 
+    def _segments(self, text: str, schema: dict[str, Any]) -> dict[str, Any]:
+        out, at = [], 0
+        for part in re.split(r"(\n\s*\n)", text):
+            body = part.strip()
+            if body:
+                start = at + len(part) - len(part.lstrip())
+                kids = [{"type": "sentence", "text": s} for s in self._sentences(body)] if len(body) > 200 else []
+                out.append({"type": "paragraph", "text": body, "position": {"start": start, "end": start + len(body)}, "segments": kids})
+            at += len(part)
+        return {"segments": out}
+
+    def _verify(self, text: str, schema: dict[str, Any]) -> dict[str, Any]:
+        """Relationships of an entity with itself, and both ``x`` and ``not x`` between two entities, among the prompt's lines."""
+        issues, kinds = [], {}
+        for id_, source, kind, target in _LINE.findall(text):
+            if source == target:
+                issues.append({"issue_type": "self_reference", "involved_elements": [id_], "proposed_solution": f"Remove the relationship of {source} with itself", "severity": "low"})
+            other = kinds.get((source, target, kind.replace("-not-", "-") if "-not-" in kind else kind.replace("-", "-not-", 1)))
+            if other:
+                issues.append({"issue_type": "contradictory_relationships", "involved_elements": [other, id_], "proposed_solution": f"Decide whether {source} {kind} {target}", "severity": "medium"})
+            kinds[source, target, kind] = id_
+        return {"issues": issues}
+
+    def _coreference(self, text: str, schema: dict[str, Any]) -> dict[str, Any]:
+        """Merge under the longest name if all words of every name occur in it."""
+        names = sorted(schema.get("names", []), key=lambda n: (-len(n), n))
+        words = [set(_WORD.findall(n.lower())) for n in names]
+        return {"merge": all(w <= words[0] for w in words), "canonical_name": names[0] if names else None, "confidence": 0.9, "reason": "names within one another"}
+
     def _summary(self, text: str, schema: dict[str, Any]) -> dict[str, Any]:
         sentences, counts = self._sentences(text), {}
         for word in _WORD.findall(text.lower()):

@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphwright.functions.text import normalize_text, pack_paragraphs, strip
 from graphwright.operators.provider import Provider
+from graphwright.plans.durable import durable
 from graphwright.schema import SEGMENTS, json_text
 
 #: Paragraphs longer than this are split into sentences.
@@ -25,14 +26,11 @@ def rule_segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     Ids are paths (``d``, ``d.p``, ``d.p.s``); blank paragraphs are skipped and not
     numbered; ``start`` and ``end`` are character offsets in the document.
     """
-    base = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    # Offsets: paragraphs and the gaps between them are cut out alternately, so lengths add up.
-    pieces = F.split(F.regexp_replace(F.col("body"), r"(\n(?U:\s)*\n)", "\u0001$1\u0001"), "\u0001")
-    parts = base.select("doc_id", F.posexplode(_with_offsets(pieces)).alias("place", "part"))
-    paras = parts.where("place % 2 = 0").select("doc_id", "place", F.col("part.text").alias("raw"), F.col("part.start").alias("begin"))
-    paras = paras.select("doc_id", "place", strip(F.col("raw")).alias("text"), (F.col("begin") + F.length("raw") - F.length(F.regexp_replace("raw", r"(?U)^\s+", ""))).alias("start")).where("text <> ''")
-    paras = paras.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "text", "start"))).alias("p"))
-    paras = paras.select("doc_id", F.posexplode("p").alias("i", "p")).select("doc_id", "i", "p.text", "p.start")
+    base = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("row", F.monotonically_increasing_id())
+    parts = _pieces(base, ["doc_id", "row"], F.col("body"), r"\n(?U:\s)*\n")
+    lead = F.length("part") - F.length(F.regexp_replace("part", r"(?U)^\s+", ""))
+    paras = parts.select("doc_id", "row", "place", strip(F.col("part")).alias("text"), (F.col("at") + lead).alias("start")).where("text <> ''")
+    paras = paras.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "row")) - 1).select("doc_id", "i", "text", "start")
     paras = paras.withColumn("sentences", F.when(F.length("text") > long_paragraph, F.split("text", _SENTENCE)).otherwise(F.array().cast("array<string>")))
     paras = paras.withColumn("sentences", F.filter("sentences", lambda x: x != ""))
     pid = F.concat("doc_id", F.lit("."), F.col("i") + 1)
@@ -42,10 +40,12 @@ def rule_segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
         "doc_id", pid.alias("id"), F.col("doc_id").alias("parent_id"), F.lit(1).alias("level"), (F.col("i") + 1).cast("bigint").alias("ord"), F.lit("paragraph").alias("segment_type"),
         F.lit(None).cast("string").alias("title"), "text", "start", (F.col("start") + F.length("text")).alias("end"), children.alias("children_ids"),
     )
-    sentence_rows = paras.select("doc_id", pid.alias("parent_id"), "start", F.col("text").alias("para"), F.posexplode(_found_in(F.col("text"), F.col("sentences"))).alias("k", "s"))
-    sentence_rows = sentence_rows.select(
-        "doc_id", F.concat("parent_id", F.lit("."), F.col("k") + 1).alias("id"), "parent_id", F.lit(2).alias("level"), (F.col("k") + 1).cast("bigint").alias("ord"), F.lit("sentence").alias("segment_type"),
-        F.lit(None).cast("string").alias("title"), F.col("s.text").alias("text"), (F.col("start") + F.col("s.at")).alias("start"), (F.col("start") + F.col("s.at") + F.length("s.text")).alias("end"), empty.alias("children_ids"),
+    long_ = paras.where(F.size("sentences") > 0).select("doc_id", pid.alias("parent_id"), "start", "text")
+    cut = _pieces(long_, ["doc_id", "parent_id", "start"], F.col("text"), _SENTENCE).where("part <> ''")
+    k = F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("place"))
+    sentence_rows = cut.withColumn("k", k).select(
+        "doc_id", F.concat("parent_id", F.lit("."), "k").alias("id"), "parent_id", F.lit(2).alias("level"), F.col("k").cast("bigint").alias("ord"), F.lit("sentence").alias("segment_type"),
+        F.lit(None).cast("string").alias("title"), F.col("part").alias("text"), (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + F.length("part")).alias("end"), empty.alias("children_ids"),
     )
     counts = paras.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     kids = F.when(F.col("n").isNull(), empty).otherwise(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat("doc_id", F.lit("."), k)))
@@ -56,24 +56,16 @@ def rule_segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     return root.unionByName(para_rows).unionByName(sentence_rows)
 
 
-def _with_offsets(pieces: Column) -> Column:
-    """Pieces with the position at which each starts."""
-    kind = "array<struct<text:string,start:int>>"
-    zero = F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("at"))
-    step = lambda s, p: F.struct(F.array_append(s["out"], F.struct(p.alias("text"), s["at"].alias("start"))).cast(kind).alias("out"), (s["at"] + F.length(p)).alias("at"))
-    return F.aggregate(pieces, zero, step, lambda s: s["out"])
+def _pieces(rows: DataFrame, keep: list[str], text: Column, between: str) -> DataFrame:
+    """``(*keep, place, part, at)``: what lies between the matches of ``between``, with the offset at which each part starts.
 
-
-def _found_in(text: Column, parts: Column) -> Column:
-    """Parts with the offset at which each is found, searching forwards."""
-    kind = "array<struct<text:string,at:int>>"
-    zero = F.struct(F.array().cast(kind).alias("out"), F.lit(1).alias("pos"))
-
-    def step(s: Column, p: Column) -> Column:
-        at = F.call_function("locate", p, text, s["pos"])
-        return F.struct(F.array_append(s["out"], F.struct(p.alias("text"), (at - 1).alias("at"))).cast(kind).alias("out"), (at + F.length(p)).alias("pos"))
-
-    return F.aggregate(parts, zero, step, lambda s: s["out"])
+    Parts and gaps are cut by the same pattern, so their lengths add up; ``keep`` names the text.
+    """
+    zipped = F.arrays_zip(F.split(text, between).alias("part"), F.regexp_extract_all(text, F.lit(f"({between})"), F.lit(1)).alias("gap"))
+    out = rows.select(*keep, F.posexplode(zipped).alias("place", "z"))
+    before = Window.partitionBy(*keep).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.length("z.part") + F.coalesce(F.length("z.gap"), F.lit(0))
+    return out.select(*keep, "place", F.col("z.part").alias("part"), F.coalesce(F.sum(spent).over(before), F.lit(0)).cast("int").alias("at"))
 
 
 def packed_segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 1000) -> DataFrame:
@@ -98,13 +90,19 @@ def hierarchical_id(metadata: Column, id_: Column) -> Column:
     return F.coalesce(F.element_at(metadata, "hierarchical_id"), id_)
 
 
-def hierarchy(segments: DataFrame, max_depth: int = 8) -> DataFrame:
-    """``(id, depth, path)``: depth and slash-joined path from the root of every segment reached within ``max_depth`` levels."""
-    level = segments.where("parent_id is null").select("id", F.lit(0).alias("depth"), F.col("id").alias("path"))
+def hierarchy(segments: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``(id, depth, path)``: depth and slash-joined path from the root of every segment, of any depth (or up to ``max_depth``).
+
+    A segment whose parents form a ring has no root and no row.
+    """
+    level = durable(segments.where("parent_id is null").select("id", F.lit(0).alias("depth"), F.col("id").alias("path")), "level")
     out = level
     links = segments.where("parent_id is not null").select(F.col("id").alias("child"), "parent_id")
-    for depth in range(1, max_depth + 1):
-        level = level.join(links, level["id"] == links["parent_id"]).select(F.col("child").alias("id"), F.lit(depth).alias("depth"), F.concat("path", F.lit("/"), "child").alias("path"))
+    depth = 0
+    while not level.isEmpty() and (max_depth is None or depth < max_depth):
+        depth += 1
+        below = level.join(links, level["id"] == links["parent_id"])
+        level = durable(below.select(F.col("child").alias("id"), F.lit(depth).alias("depth"), F.concat("path", F.lit("/"), "child").alias("path")), "level")
         out = out.unionByName(level)
     return out
 

@@ -145,3 +145,88 @@ def find_cycles(edges: DataFrame, longest: int, kind: str = "kind") -> DataFrame
         found = closed if found is None else found.unionByName(closed)
         level = onward.where((F.col("to") > F.col("start")) & ~F.array_contains("nodes", F.col("to"))).select(kind, "start", F.col("to").alias("end"), F.array_append("nodes", F.col("to")).alias("nodes"))
     return found
+
+
+def strong_components(edges: DataFrame, kind: str = "kind") -> DataFrame:
+    """``(kind, node, component)`` of all nodes that lie on a cycle of two or more edges of one kind, of any length.
+
+    ``component`` is one of the component's nodes.  Nodes without a way in or out are
+    trimmed; then every node takes the least node that reaches it, and what leads back to that
+    node inside its colour is one component.  Rounds go on until no edge is left.
+    """
+    open_ = durable(edges.where("s <> t").select(kind, "s", "t").distinct(), "open")
+    found = open_.select(kind, F.col("s").alias("node"), F.col("s").alias("component")).limit(0)
+    while True:
+        size = open_.count()
+        while size:
+            into, out = open_.select(kind, F.col("t").alias("s")).distinct(), open_.select(kind, F.col("s").alias("t")).distinct()
+            kept = durable(open_.join(into, [kind, "s"], "left_semi").join(out, [kind, "t"], "left_semi").select(kind, "s", "t"), "open", replaces=open_)
+            open_, before, size = kept, size, kept.count()
+            if size == before:
+                break
+        if not size:
+            return found
+        nodes = open_.select(kind, F.col("s").alias("node")).unionByName(open_.select(kind, F.col("t").alias("node"))).distinct()
+        colour = durable(nodes.withColumn("least", F.col("node")), "colour")
+        moved = colour
+        while not moved.isEmpty():
+            sent = open_.join(moved.withColumnRenamed("node", "s"), [kind, "s"]).groupBy(kind, F.col("t").alias("node")).agg(F.min("least").alias("new"))
+            both = durable(colour.join(sent, [kind, "node"], "left").select(kind, "node", F.least("least", "new").alias("least"), (F.col("new") < F.col("least")).alias("moved")), "colour", replaces=colour)
+            colour, moved = both.drop("moved"), both.where("moved").drop("moved")
+            colour._durable_path = both._durable_path
+        inside = open_.join(colour.withColumnsRenamed({"node": "s", "least": "cs"}), [kind, "s"]).join(colour.withColumnsRenamed({"node": "t", "least": "ct"}), [kind, "t"])
+        inside = durable(inside.where("cs = ct").select(kind, "s", "t", F.col("cs").alias("c")), "inside", replaces=open_)
+        level = durable(colour.where("node = least").select(kind, "node", F.col("node").alias("component")), "back")
+        back = level
+        while not level.isEmpty():
+            # Against the edges, inside the colour of the component's node.
+            onward = inside.join(level.withColumnsRenamed({"node": "t", "component": "c"}), [kind, "t", "c"]).select(kind, F.col("s").alias("node"), F.col("c").alias("component")).distinct()
+            level = durable(onward.join(back, [kind, "node", "component"], "left_anti"), "back")
+            back = back.unionByName(level)
+        back = durable(back, "component")
+        real = back.join(back.groupBy(kind, "component").count().where("count > 1").select(kind, "component"), [kind, "component"], "left_semi")
+        found = found.unionByName(real.select(kind, "node", "component"))
+        gone = back.select(kind, F.col("node").alias("s"))
+        left = inside.join(gone, [kind, "s"], "left_anti").join(gone.withColumnRenamed("s", "t"), [kind, "t"], "left_anti")
+        open_ = durable(left.select(kind, "s", "t"), "open", replaces=inside)
+
+
+def cycle_witnesses(edges: DataFrame, kind: str = "kind") -> DataFrame:
+    """``(kind, start, nodes, length, members)``: for each component of :func:`strong_components` one shortest cycle through its least node.
+
+    Of several shortest cycles the one of the least nodes in order is given; ``members`` counts the component's nodes.
+    The search keeps one path a node, so its work is bounded by the component's edges.
+    """
+    parts = durable(strong_components(edges, kind), "components")
+    heads = durable(parts.groupBy(kind, "component").agg(F.min("node").alias("start"), F.count(F.lit(1)).alias("members")), "heads")
+    step = edges.where("s <> t").select(kind, F.col("s").alias("end"), F.col("t").alias("to")).distinct()
+    step = step.join(parts.select(kind, F.col("node").alias("end"), "component"), [kind, "end"]).join(parts.select(kind, F.col("node").alias("to"), F.col("component").alias("there")), [kind, "to"])
+    step = durable(step.where("component = there").select(kind, "component", "end", "to"), "steps")
+    level = durable(heads.select(kind, "component", "start", F.col("start").alias("end"), F.array("start").alias("nodes")), "level")
+    seen, found, length = level.select(kind, "component", "end"), None, 0
+    while not level.isEmpty():
+        length += 1
+        onward = durable(level.join(step, [kind, "component", "end"]), "onward")
+        closed = onward.where(F.col("to") == F.col("start")).groupBy(kind, "component", "start").agg(F.min("nodes").alias("nodes")).withColumn("length", F.lit(length))
+        closed = durable(closed, "closed")
+        found = closed if found is None else found.unionByName(closed)
+        rest = onward.join(closed, [kind, "component"], "left_anti").groupBy(kind, "component", "start", F.col("to").alias("end")).agg(F.min(F.array_append("nodes", F.col("to"))).alias("nodes"))
+        level = durable(rest.join(seen, [kind, "component", "end"], "left_anti").select(kind, "component", "start", "end", "nodes"), "level")
+        seen = seen.unionByName(level.select(kind, "component", "end"))
+    if found is None:
+        return heads.select(kind, "start", F.array("start").alias("nodes"), F.lit(0).alias("length"), "members").limit(0)
+    return found.join(heads.select(kind, "component", "members"), [kind, "component"]).select(kind, "start", "nodes", "length", "members")
+
+
+def all_cycles(edges: DataFrame, longest: int, kind: str = "kind") -> DataFrame:
+    """:func:`find_cycles`, and the witness of every component that has no cycle so short: ``(kind, start, nodes, length)``.
+
+    So every cyclic component is reported, whatever the length of its cycles; only the
+    enumeration of all cycles of a component, of which there can be exponentially many, is bounded.
+    """
+    short = durable(find_cycles(edges, longest, kind), "short")
+    parts = durable(strong_components(edges, kind), "components")
+    told = short.join(parts.withColumnRenamed("node", "start"), [kind, "start"]).select(kind, "component").distinct()
+    silent = parts.join(told, [kind, "component"], "left_anti").select(kind, F.col("node").alias("s"))
+    rest = edges.join(silent, [kind, "s"], "left_semi").join(silent.withColumnRenamed("s", "t"), [kind, "t"], "left_semi")
+    return short.unionByName(cycle_witnesses(rest.select(kind, "s", "t"), kind).drop("members"))

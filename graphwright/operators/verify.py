@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphwright.functions.text import outermost_json
 from graphwright.operators import rules
 from graphwright.operators.provider import Provider
-from graphwright.operators.traverse import find_cycles
+from graphwright.operators.traverse import all_cycles
 from graphwright.plans.durable import durable
 from graphwright.schema import ISSUES
 
@@ -44,19 +44,23 @@ def contradictory_types(entities: DataFrame, relationships: DataFrame) -> DataFr
 
 
 def hierarchy_cycles(relationships: DataFrame, longest: int = 4) -> DataFrame:
-    """Cycles in the union of the hierarchical types, each once from its least entity: ``(start, nodes, length)``."""
+    """Cycles in the union of the hierarchical types: ``(start, nodes, length)``.
+
+    Each of up to ``longest`` edges once from its least entity; a component whose cycles are all
+    longer is reported by one of its shortest, so that no cyclic component is missed.
+    """
     edges = relationships.where(F.lower("relation_type").isin(*rules.VERIFIER_HIERARCHY)).select(
         F.lit("hierarchy").alias("kind"), F.col("source_entity").alias("s"), F.col("target_entity").alias("t")
     )
-    return find_cycles(edges.distinct(), longest).select("start", "nodes", "length")
+    return all_cycles(edges.distinct(), longest).select("start", "nodes", "length")
 
 
-def transitive_contradictions(relationships: DataFrame, max_hops: int = 6) -> DataFrame:
+def transitive_contradictions(relationships: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``(relation_type, source_entity, target_entity, distance, contradiction)``.
 
     Pairs denied by a direct relationship although the target is reached over two
-    to ``max_hops`` edges of one hierarchical type.  Only sources of a denial are
-    searched, level by level, each reached entity once.
+    or more edges of one hierarchical type (up to ``max_hops``, if given).  Only sources of a
+    denial are searched, level by level, each reached entity once, until a level is empty.
     """
     kind = F.lower("relation_type")
     denial = relationships.where(kind.isin(*rules.VERIFIER_DENIALS)).select("source_entity", "target_entity", F.col("id").alias("contradiction"))
@@ -64,18 +68,18 @@ def transitive_contradictions(relationships: DataFrame, max_hops: int = 6) -> Da
     starts = denial.select(F.col("source_entity").alias("start")).distinct()
     level = starts.join(step.withColumnRenamed("node", "start"), "start").where("start <> to").select("kind", "start", F.col("to").alias("node"), F.lit(1).alias("distance")).distinct()
     seen = level = durable(level, "level")
-    for distance in range(2, max_hops + 1):
+    distance = 1
+    while not level.isEmpty() and (max_hops is None or distance < max_hops):
+        distance += 1
         onward = level.join(step, ["kind", "node"]).where("start <> to").select("kind", "start", F.col("to").alias("node")).distinct()
         level = durable(onward.join(seen, ["kind", "start", "node"], "left_anti").withColumn("distance", F.lit(distance)), "level")
-        if level.isEmpty():
-            break
         seen = seen.unionByName(level)
     return seen.where("distance >= 2").join(denial, (F.col("start") == F.col("source_entity")) & (F.col("node") == F.col("target_entity"))).select(
         F.col("kind").alias("relation_type"), "source_entity", "target_entity", "distance", "contradiction"
     )
 
 
-def verify(entities: DataFrame, relationships: DataFrame, longest_cycle: int = 4, max_hops: int = 6) -> DataFrame:
+def verify(entities: DataFrame, relationships: DataFrame, longest_cycle: int = 4, max_hops: int | None = None) -> DataFrame:
     """All issues in the shape of ``graphwright.schema.ISSUES``."""
     empty = F.create_map().cast("map<string,string>")
     names = entities.select("id", "name")

@@ -119,10 +119,15 @@ _LABELS = """RECURSIVE, lab(id, label) AS (SELECT id, id FROM ent UNION SELECT n
 comp AS (SELECT id, min(label) AS component FROM lab GROUP BY 1)"""
 _LINKS = ["similar-to", "causes", "is-a", "prevents"]
 _graph("components", metrics.components, f"{_LABELS} SELECT id, component FROM comp", types=_LINKS)
-_graph("components_all", metrics.components, None)
-_graph("graph_stats_all", lambda g: metrics.stats(g).select("nodes", "edges", "relationships", _r("density"), "connected", "components", _r("average_clustering")), None)
+# The whole graph is dense: labels are kept by key, so that the recursion holds one row an entity.
+_LEAST = """RECURSIVE, near AS (SELECT s AS o, t AS id FROM edges UNION SELECT t, s FROM edges),
+lab(id, label) USING KEY (id) AS (SELECT id, id FROM ent UNION SELECT near.id, min(lab.label) FROM lab JOIN near ON near.o = lab.id JOIN recurring.lab old ON old.id = near.id WHERE lab.label < old.label GROUP BY near.id),
+comp AS (SELECT id, label AS component FROM lab)"""
+_graph("components_all", metrics.components, f"{_LEAST} SELECT id, component FROM comp")
+_STATS = "SELECT (SELECT count(*) FROM ent) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM rel) AS relationships, round((SELECT count(*) FROM edges) / ((SELECT count(*) FROM ent) * ((SELECT count(*) FROM ent) - 1)), 6) AS density, (SELECT count(DISTINCT component) FROM comp) = 1 AS connected, (SELECT count(DISTINCT component) FROM comp) AS components, round((SELECT avg(score) FROM score), 6) AS average_clustering"
+_graph("graph_stats_all", lambda g: metrics.stats(g).select("nodes", "edges", "relationships", _r("density"), "connected", "components", _r("average_clustering")), f"{_LEAST}{_CLUSTER} {_STATS}")
 _graph("graph_stats", lambda g: metrics.stats(g).select("nodes", "edges", "relationships", _r("density"), "connected", "components", _r("average_clustering")),
-       f"{_LABELS}{_CLUSTER} SELECT (SELECT count(*) FROM ent) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM rel) AS relationships, round((SELECT count(*) FROM edges) / ((SELECT count(*) FROM ent) * ((SELECT count(*) FROM ent) - 1)), 6) AS density, (SELECT count(DISTINCT component) FROM comp) = 1 AS connected, (SELECT count(DISTINCT component) FROM comp) AS components, round((SELECT avg(score) FROM score), 6) AS average_clustering", types=_LINKS)
+       f"{_LABELS}{_CLUSTER} {_STATS}", types=_LINKS)
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -189,24 +194,51 @@ p2 AS (SELECT x.kind, x.s, x.t AS m, y.t, x.c * y.c AS c FROM last x JOIN last y
 p3 AS (SELECT x.kind, x.s, y.t, x.c * y.c AS c FROM p2 x JOIN last y ON x.kind = y.kind AND x.t = y.s WHERE y.t <> x.s AND y.t <> x.m),
 best AS (SELECT kind, s, t, max(c) AS c, count(*) AS paths_count FROM (SELECT kind, s, t, c * pow(0.9::DOUBLE, 2) AS c FROM p2 UNION ALL SELECT kind, s, t, c * pow(0.9::DOUBLE, 3) FROM p3) GROUP BY 1, 2, 3)"""
 _graph("infer_transitive", lambda g: reason.infer_transitive(g, 0.6).select(*_INFERRED, _r("confidence"), "paths_count"), f", {_TRANSITIVE} SELECT best.kind AS relation_type, best.s AS source_entity, best.t AS target_entity, a.name AS source_name, b.name AS target_name, round(best.c, 6) AS confidence, paths_count FROM best JOIN ent a ON a.id = best.s JOIN ent b ON b.id = best.t WHERE best.c >= 0.6::DOUBLE AND NOT EXISTS (SELECT 1 FROM last WHERE last.kind = best.kind AND last.s = best.s AND last.t = best.t)")
-_graph("infer_all_counts", lambda g: reason.infer_new_relationships(g).groupBy("type", "relation_type").agg(F.count(F.lit(1)).alias("n")), None)
+_graph("infer_all_counts", lambda g: reason.infer_new_relationships(g).groupBy("type", "relation_type").agg(F.count(F.lit(1)).alias("n")),
+       f""", inv(kind, other) AS (VALUES {_PAIRS}), {_CHAINED}, {_TRANSITIVE},
+every AS (SELECT 'transitive_relationship' AS type, relation_type FROM chain WHERE c >= 0.7::DOUBLE
+  UNION ALL SELECT 'transitive_relationship', kind FROM best WHERE c >= 0.7::DOUBLE AND NOT EXISTS (SELECT 1 FROM last WHERE last.kind = best.kind AND last.s = best.s AND last.t = best.t)
+  UNION ALL SELECT 'symmetric_relationship', relation_type FROM typed x WHERE kind IN ('similar-to', 'related-to', 'connected-with', 'interacts-with') AND x.confidence >= 0.7::DOUBLE AND NOT EXISTS (SELECT 1 FROM typed y WHERE y.kind = x.kind AND y.source_entity = x.target_entity AND y.target_entity = x.source_entity)
+  UNION ALL SELECT 'inverse_relationship', other FROM typed x JOIN inv ON inv.kind = x.kind WHERE x.confidence >= 0.7::DOUBLE AND NOT EXISTS (SELECT 1 FROM typed y WHERE y.kind = other AND y.source_entity = x.target_entity AND y.target_entity = x.source_entity))
+SELECT type, relation_type, count(*) AS n FROM every GROUP BY 1, 2""")
 
 # --- conflicts --------------------------------------------------------------------------------------------------------
 
-_OPPOSED = ", opp(a, b) AS (VALUES ('causes','prevents'),('prevents','causes'),('is-a','is-not-a'),('is-not-a','is-a')), con AS (SELECT x.id AS id1, y.id AS id2, x.source_entity, x.target_entity, x.kind AS type1, y.kind AS type2, least(x.confidence, y.confidence) AS c, x.confidence AS c1, y.confidence AS c2, x.ord AS ord1, y.ord AS ord2 FROM typed x JOIN opp ON x.kind = a JOIN typed y ON y.kind = b AND x.source_entity = y.source_entity AND x.target_entity = y.target_entity WHERE x.confidence >= 0.5::DOUBLE AND y.confidence >= 0.5::DOUBLE)"
+_opposed = lambda least: f", opp(a, b) AS (VALUES ('causes','prevents'),('prevents','causes'),('is-a','is-not-a'),('is-not-a','is-a')), con AS (SELECT x.id AS id1, y.id AS id2, x.source_entity, x.target_entity, x.kind AS type1, y.kind AS type2, least(x.confidence, y.confidence) AS c, x.confidence AS c1, y.confidence AS c2, x.ord AS ord1, y.ord AS ord2 FROM typed x JOIN opp ON x.kind = a JOIN typed y ON y.kind = b AND x.source_entity = y.source_entity AND x.target_entity = y.target_entity WHERE x.confidence >= {least}::DOUBLE AND y.confidence >= {least}::DOUBLE)"
+_OPPOSED = _opposed(0.5)
 _graph("conflict_contradiction", lambda g: conflicts.contradictions(g).select("id1", "id2", "source_entity", "target_entity", "type1", "type2", _r("confidence")), f"{_OPPOSED} SELECT id1, id2, source_entity, target_entity, type1, type2, round(c, 6) AS confidence FROM con")
-_graph("resolve_contradiction", lambda g: conflicts.resolve_contradictions(g).rels.select("id"), f"{_OPPOSED} SELECT id FROM rel WHERE id NOT IN (SELECT CASE WHEN c1 >= c2 THEN id2 ELSE id1 END FROM con WHERE ord1 < ord2)")
+_graph("resolve_contradiction", lambda g: conflicts.resolve_contradictions(g).rels.select("id"), f"{_OPPOSED} SELECT rel.id FROM rel ANTI JOIN (SELECT DISTINCT CASE WHEN c1 >= c2 THEN id2 ELSE id1 END AS id FROM con WHERE ord1 < ord2) gone ON rel.id = gone.id")
 _PROPS = ", attr AS (SELECT id, name, entity_type, confidence, ord, unnest(['brand', 'kind', 'segment', 'size']) AS key, unnest([a_brand, a_kind, a_segment, a_size]) AS value FROM ent WHERE confidence >= 0.9::DOUBLE), pc AS (SELECT x.id AS id1, y.id AS id2, x.name, x.key, x.value AS value1, y.value AS value2, x.confidence AS c1, y.confidence AS c2, x.ord AS o1, y.ord AS o2 FROM attr x JOIN attr y ON x.name = y.name AND x.entity_type = y.entity_type AND x.key = y.key AND x.ord < y.ord AND x.value <> y.value)"
 _graph("conflict_property", lambda g: conflicts.property_conflicts(g, 0.9).select("id1", "id2", "name", "key", "value1", "value2"), f"{_PROPS} SELECT id1, id2, name, key, value1, value2 FROM pc")
 _graph("resolve_property", lambda g: conflicts.resolve_property_conflicts(g, least=0.9).nodes.select("id", F.element_at("attributes", "brand").alias("brand"), F.element_at("attributes", "size").alias("size")),
        f"{_PROPS}, up AS (SELECT CASE WHEN c1 >= c2 THEN id2 ELSE id1 END AS id, key, CASE WHEN c1 >= c2 THEN value1 ELSE value2 END AS value, CASE WHEN c1 >= c2 THEN c1 ELSE c2 END AS c, CASE WHEN c1 >= c2 THEN o1 ELSE o2 END AS o FROM pc), best AS (SELECT id, key, arg_max(value, row(c, -o)) AS value FROM up GROUP BY 1, 2) SELECT ent.id, coalesce(b.value, a_brand) AS brand, coalesce(z.value, a_size) AS size FROM ent LEFT JOIN best b ON b.id = ent.id AND b.key = 'brand' LEFT JOIN best z ON z.id = ent.id AND z.key = 'size'")
-_CYCLES = """RECURSIVE, hier AS (SELECT DISTINCT kind, source_entity AS s, target_entity AS t FROM typed WHERE kind IN ('is-a', 'part-of', 'contains') AND confidence >= 0.5::DOUBLE AND source_entity <> target_entity),
-walk(kind, start, last, nodes, n) AS (SELECT kind, s, t, [s, t], 2 FROM hier WHERE t > s UNION ALL SELECT w.kind, start, t, list_append(nodes, t), n + 1 FROM walk w JOIN hier h ON w.kind = h.kind AND last = h.s WHERE t > start AND NOT list_contains(nodes, t) AND n < 4),
-cyc AS (SELECT w.kind AS relation_type, start, nodes, n AS length FROM walk w JOIN hier h ON w.kind = h.kind AND last = h.s AND h.t = start)"""
-_graph("conflict_cycles", lambda g: conflicts.circular_hierarchies(g).select("relation_type", "start", F.array_join("nodes", ">").alias("nodes"), "length"), f"{_CYCLES} SELECT relation_type, start, array_to_string(nodes, '>') AS nodes, length FROM cyc", ["is-a", "part-of", "part_of", "contains"])
-_graph("resolve_cycle", lambda g: conflicts.resolve_cycles(g).rels.select("id"), f"{_CYCLES}, hop AS (SELECT relation_type, start, nodes, nodes[i] AS s, nodes[i % length + 1] AS t FROM cyc, range(1, 5) r(i) WHERE i <= length), gone AS (SELECT arg_min(typed.id, row(confidence, ord)) AS id FROM hop JOIN typed ON kind = hop.relation_type AND source_entity = s AND target_entity = t GROUP BY hop.relation_type, start, nodes) SELECT id FROM rel WHERE id NOT IN (SELECT id FROM gone)", ["is-a", "part-of", "part_of", "contains"])
-_graph("detect_conflicts_counts", lambda g: conflicts.detect_conflicts(g, 0.9).groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n")), None)
-_graph("resolve_actions_counts", lambda g: conflicts.resolve_conflicts(g, 0.9)[0].groupBy("action_type").agg(F.count(F.lit(1)).alias("n")), None)
+
+
+def _all_cycles(edges: str, longest: int = 4) -> str:
+    """Tables: ``hier`` (kind, s, t), and ``cyc`` with its cycles up to ``longest`` edges and a shortest one of each component that has only longer ones."""
+    return f"""RECURSIVE, hier AS (SELECT DISTINCT kind, s, t FROM ({edges}) WHERE s <> t),
+walk(kind, start, last, nodes, n) AS (SELECT kind, s, t, [s, t], 2 FROM hier WHERE t > s UNION ALL SELECT w.kind, start, t, list_append(nodes, t), n + 1 FROM walk w JOIN hier h ON w.kind = h.kind AND last = h.s WHERE t > start AND NOT list_contains(nodes, t) AND n < {longest}),
+short AS (SELECT w.kind, start, nodes, n AS length FROM walk w JOIN hier h ON w.kind = h.kind AND last = h.s AND h.t = start),
+reach(kind, a, b) AS (SELECT kind, s, t FROM hier UNION SELECT reach.kind, a, t FROM reach JOIN hier ON reach.kind = hier.kind AND b = s),
+part AS (SELECT x.kind, x.a AS node, min(x.b) AS c FROM reach x JOIN reach y ON x.kind = y.kind AND x.a = y.b AND x.b = y.a GROUP BY 1, 2),
+silent AS (SELECT kind, node, c FROM part WHERE (kind, c) NOT IN (SELECT (part.kind, part.c) FROM short JOIN part ON short.kind = part.kind AND short.start = part.node)),
+round_(kind, c, last, nodes) AS (SELECT DISTINCT kind, c, c, [c] FROM silent UNION ALL SELECT w.kind, w.c, h.t, list_append(nodes, h.t) FROM round_ w JOIN hier h ON w.kind = h.kind AND last = h.s
+  JOIN silent ON silent.kind = h.kind AND silent.node = h.t AND silent.c = w.c WHERE NOT list_contains(nodes, h.t)),
+long_ AS (SELECT w.kind, c AS start, arg_min(nodes, row(len(nodes), nodes)) AS nodes FROM round_ w JOIN hier h ON w.kind = h.kind AND last = h.s AND h.t = c GROUP BY 1, 2),
+cyc AS (SELECT kind AS relation_type, start, nodes, length FROM short UNION ALL SELECT kind, start, nodes, len(nodes) FROM long_)"""
+
+
+_hier = lambda least: f"SELECT kind, source_entity AS s, target_entity AS t FROM typed WHERE kind IN ('is-a', 'part-of', 'contains') AND confidence >= {least}::DOUBLE"
+_CYCLES = _all_cycles(_hier(0.5))
+_graph("conflict_cycles", lambda g: conflicts.circular_hierarchies(g).select("relation_type", "start", F.array_join("nodes", ">").alias("nodes"), "length"), f"{_CYCLES} SELECT relation_type, start, array_to_string(nodes, '>') AS nodes, length::INTEGER AS length FROM cyc", ["is-a", "part-of", "part_of", "contains"])
+_graph("resolve_cycle", lambda g: conflicts.resolve_cycles(g).rels.select("id"), f"{_CYCLES}, hop AS (SELECT relation_type, start, nodes, nodes[i] AS s, nodes[i % length + 1] AS t FROM cyc, range(1, 100) r(i) WHERE i <= length), gone AS (SELECT arg_min(typed.id, row(confidence, ord)) AS id FROM hop JOIN typed ON kind = hop.relation_type AND source_entity = s AND target_entity = t GROUP BY hop.relation_type, start, nodes) SELECT rel.id FROM rel ANTI JOIN gone ON rel.id = gone.id", ["is-a", "part-of", "part_of", "contains"])
+_graph("detect_conflicts_counts", lambda g: conflicts.detect_conflicts(g, 0.6).groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n")),
+       f"""{_all_cycles(_hier(0.6))}{_opposed(0.6)}{_PROPS.replace("0.9", "0.6")}, found AS (SELECT 'contradictory_relationship' AS type, 'high' AS severity FROM con UNION ALL SELECT 'property_conflict', 'medium' FROM (SELECT DISTINCT id1, id2 FROM pc) UNION ALL SELECT 'circular_hierarchy', 'high' FROM cyc)
+SELECT type, severity, count(*) AS n FROM found GROUP BY 1, 2""")
+_graph("resolve_actions_counts", lambda g: conflicts.resolve_conflicts(g, 0.6)[0].groupBy("action_type").agg(F.count(F.lit(1)).alias("n")),
+       f"""{_all_cycles(_hier(0.6))}{_opposed(0.6)}{_PROPS.replace("0.9", "0.6")}, found AS (SELECT 'remove_relationship' AS action_type FROM con
+  UNION ALL SELECT 'merge_entity_attributes' FROM (SELECT DISTINCT CASE WHEN c1 >= c2 THEN id1 ELSE id2 END, CASE WHEN c1 >= c2 THEN id2 ELSE id1 END FROM pc) UNION ALL SELECT 'break_cycle' FROM cyc)
+SELECT action_type, count(*) AS n FROM found GROUP BY 1""")
 
 # --- verification -----------------------------------------------------------------------------------------------------
 
@@ -219,17 +251,23 @@ _DANGLING = "dang AS (SELECT id, 'source' AS endpoint, source_entity AS missing
 _add("verify_dangling", oracle(f", {_DANGLING} SELECT * FROM dang"))(_raw(verify.dangling_references))
 _VERIFY = "opp(a, b) AS (VALUES ('causes','prevents'),('prevents','causes'),('is-a','is-not-a'),('is-not-a','is-a')), dir AS (SELECT DISTINCT * FROM (SELECT id, source_entity, target_entity, relation_type, ord FROM rel UNION ALL SELECT id, target_entity, source_entity, relation_type, ord FROM rel WHERE bidirectional)), con AS (SELECT x.id AS id1, y.id AS id2, x.source_entity, x.target_entity, x.relation_type AS type1, y.relation_type AS type2 FROM dir x JOIN opp ON x.relation_type = a JOIN dir y ON y.relation_type = b AND x.source_entity = y.source_entity AND x.target_entity = y.target_entity AND x.ord < y.ord)"
 _add("verify_contradiction", oracle(f", {_VERIFY} SELECT * FROM con"))(_raw(verify.contradictory_types))
-_VCYCLES = """RECURSIVE, hier AS (SELECT DISTINCT source_entity AS s, target_entity AS t FROM raw WHERE lower(relation_type) IN ('is-a', 'part-of', 'subclass-of', 'contains', 'includes') AND source_entity <> target_entity),
-walk(start, last, nodes, n) AS (SELECT s, t, [s, t], 2 FROM hier WHERE t > s UNION ALL SELECT start, t, list_append(nodes, t), n + 1 FROM walk w JOIN hier h ON last = h.s WHERE t > start AND NOT list_contains(nodes, t) AND n < 4)
-SELECT start, array_to_string(nodes, '>') AS nodes, n AS length FROM walk w JOIN hier h ON last = h.s AND h.t = start"""
+_VHIER = "SELECT 'h' AS kind, source_entity AS s, target_entity AS t FROM raw WHERE lower(relation_type) IN ('is-a', 'part-of', 'subclass-of', 'contains', 'includes')"
+_VCYCLES = f"{_all_cycles(_VHIER)} SELECT start, array_to_string(nodes, '>') AS nodes, length::INTEGER AS length FROM cyc"
 _add("verify_cycles", oracle(_VCYCLES))(_raw(lambda e, r: verify.hierarchy_cycles(r).select("start", F.array_join("nodes", ">").alias("nodes"), "length")))
-_VTRANS = """RECURSIVE, step AS (SELECT DISTINCT lower(relation_type) AS kind, source_entity AS s, target_entity AS t FROM raw WHERE lower(relation_type) IN ('is-a', 'part-of', 'subclass-of')),
+# A least distance is below the number of entities within reach, so the walk is bounded without leaving anything out.
+_VFAR = """, step AS (SELECT DISTINCT lower(relation_type) AS kind, source_entity AS s, target_entity AS t FROM raw WHERE lower(relation_type) IN ('is-a', 'part-of', 'subclass-of')),
 deny AS (SELECT id, source_entity, target_entity FROM raw WHERE lower(relation_type) IN ('is-not-a', 'different-from', 'separate-from')),
-walk(kind, start, node, n) AS (SELECT kind, s, t, 1 FROM step WHERE s IN (SELECT source_entity FROM deny) AND s <> t UNION SELECT w.kind, start, t, n + 1 FROM walk w JOIN step ON w.kind = step.kind AND node = s WHERE n < 6 AND t <> start),
-far AS (SELECT kind, start, node, min(n) AS n FROM walk GROUP BY 1, 2, 3)
-SELECT kind AS relation_type, start AS source_entity, node AS target_entity, n AS distance, id AS contradiction FROM far JOIN deny ON start = source_entity AND node = target_entity WHERE n >= 2"""
+afar(kind, start, node) AS (SELECT kind, s, t FROM step WHERE s IN (SELECT source_entity FROM deny) AND s <> t UNION SELECT afar.kind, start, t FROM afar JOIN step ON afar.kind = step.kind AND node = s WHERE t <> start),
+most AS (SELECT coalesce(max(n), 0) AS most FROM (SELECT count(*) AS n FROM afar GROUP BY kind, start)),
+onward(kind, start, node, n) AS (SELECT kind, s, t, 1 FROM step WHERE s IN (SELECT source_entity FROM deny) AND s <> t UNION SELECT w.kind, start, t, n + 1 FROM onward w JOIN step ON w.kind = step.kind AND node = s WHERE n < (SELECT most FROM most) AND t <> start),
+far AS (SELECT kind, start, node, min(n) AS n FROM onward GROUP BY 1, 2, 3),
+denied AS (SELECT kind AS relation_type, start AS source_entity, node AS target_entity, n AS distance, id AS contradiction FROM far JOIN deny ON start = source_entity AND node = target_entity WHERE n >= 2)"""
+_VTRANS = f"RECURSIVE{_VFAR} SELECT * FROM denied"
 _add("verify_transitive_contradiction", oracle(_VTRANS))(_raw(lambda e, r: verify.transitive_contradictions(r)))
-_add("verify_all", None)(_raw(lambda e, r: verify.verify(e, r).groupBy("issue_type", "severity").agg(F.count(F.lit(1)).alias("n"))))
+_add("verify_all", oracle(f"""{_all_cycles(_VHIER)}{_VFAR}, {_DANGLING}, {_VERIFY},
+found AS (SELECT 'dangling_reference' AS issue_type, 'critical' AS severity FROM dang UNION ALL SELECT 'cyclic_dependency', 'critical' FROM cyc
+  UNION ALL SELECT 'contradictory_relationships', 'medium' FROM con UNION ALL SELECT 'transitive_contradiction', 'medium' FROM denied)
+SELECT issue_type, severity, count(*) AS n FROM found GROUP BY 1, 2"""))(_raw(lambda e, r: verify.verify(e, r).groupBy("issue_type", "severity").agg(F.count(F.lit(1)).alias("n"))))
 
 # --- registries and changes -------------------------------------------------------------------------------------------
 
@@ -284,7 +322,7 @@ _markers = " OR ".join(f"contains(text, '{m}')" for m in text.CODE_MARKERS)
 _clean = "regexp_replace(text, '[\\s\\.,;:!?''\"()\\[\\]{}]', '', 'g')"
 _text("is_natural_language", lambda d: d.select("doc_id", text.is_natural_language(F.col("text")).alias("natural")),
       f"SELECT doc_id, CASE WHEN text IS NULL OR length(text) < 10 OR {_markers} THEN false WHEN length({_clean}) > 0 AND length(regexp_replace({_clean}, '[\\p{{L}}\\p{{N}}]', '', 'g')) / length({_clean}) > 0.3 THEN false WHEN len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) = 0 THEN false ELSE regexp_matches(text, '[A-ZА-Я].*?[.!?]') AND list_avg(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w))) BETWEEN 3 AND 10 END AS natural FROM documents")
-_text("outermost_json", lambda d: d.select("doc_id", text.outermost_json(F.concat(F.lit("say {"), F.substring("text", 1, 20), F.lit("} end"))).alias("j")), "SELECT doc_id, regexp_extract('say {' || left(text, 20) || '} end', '(?s)\\{.*\\}', 0) AS j FROM documents")
+_text("outermost_json", lambda d: d.select("doc_id", text.outermost_json(F.concat(F.lit("say {"), "text", F.lit("} end"))).alias("j")), "SELECT doc_id, regexp_extract('say {' || text || '} end', '(?s)\\{.*\\}', 0) AS j FROM documents")
 _text("language_names", lambda d: d.select("doc_id", language.language_name(F.upper("lang")).alias("name"), language.is_supported(F.col("lang")).alias("supported"), language.closest_supported(F.col("lang")).alias("closest")),
       "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'Français' WHEN 'de' THEN 'Deutsch' WHEN 'es' THEN 'Español' ELSE upper(lang) END AS name, lang IN ('ru', 'en') AS supported, 'en' AS closest FROM documents")
 _text("language_detect", lambda d: d.select("doc_id", language.detect_language(F.col("text")).alias("language")), None)
@@ -297,7 +335,10 @@ _text("segment_paragraphs", lambda d: segment.rule_segments(d.withColumn("text",
       f"""WITH para AS (SELECT doc_id::VARCHAR AS doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: {_trim('x')}), lambda x: x <> '') AS ps FROM documents),
 one AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p, ps FROM para), spot AS (SELECT *, CASE WHEN i = 1 THEN 0 ELSE list_sum(list_transform(ps[1:i - 1], lambda x: length(x) + 2)) END AS start FROM one)
 SELECT doc_id, doc_id || '.' || i AS id, start::INTEGER AS start, (start + length(p))::INTEGER AS end, CASE WHEN length(p) > 200 THEN len({_SENT}) ELSE 0 END::INTEGER AS n FROM spot""")
-_text("segment_hierarchy", lambda d: segment.hierarchy(segment.rule_segments(d.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))))).groupBy("depth").agg(F.count(F.lit(1)).alias("n")), None)
+_text("segment_hierarchy", lambda d: segment.hierarchy(segment.rule_segments(d.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))))).groupBy("depth").agg(F.count(F.lit(1)).alias("n")),
+      f"""WITH para AS (SELECT list_filter(list_transform(regexp_split_to_array(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: {_trim('x')}), lambda x: x <> '') AS ps FROM documents), one AS (SELECT unnest(ps) AS p FROM para),
+every AS (SELECT 0 AS depth FROM documents UNION ALL SELECT 1 FROM one UNION ALL SELECT 2 FROM (SELECT unnest({_SENT}) FROM one WHERE length(p) > 200))
+SELECT depth, count(*) AS n FROM every GROUP BY 1""")
 _text("extract_segments_pack", lambda d: segment.packed_segments(d.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))).select("doc_id", "id", "position", "length"),
       f"""WITH RECURSIVE para AS (SELECT doc_id::VARCHAR AS doc_id, list_filter(regexp_split_to_array({_normal('replace(text, chr(10), chr(10) || chr(10))')}, '\\n\\n+'), lambda x: trim(x) <> '') AS ps FROM documents),
 fold(doc_id, ps, i, cur, pos, seg, done, dpos, dlen) AS (SELECT doc_id, ps, 0, 0, 0, 1, false, 0, 0 FROM para UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN full_ THEN l WHEN cur = 0 THEN l ELSE cur + 2 + l END, CASE WHEN full_ THEN pos + l + 2 ELSE pos END, CASE WHEN full_ THEN seg + 1 ELSE seg END, full_, pos, cur
@@ -306,7 +347,10 @@ SELECT doc_id, 'seg_' || (seg - 1) AS id, dpos::INTEGER AS position, dlen::INTEG
 _text("summary_cache_key", lambda d: d.select("doc_id", summarize.cache_key(F.col("text"), F.lit("document"), F.col("lang")).alias("key")), "SELECT doc_id, md5(concat_ws('|', text, 'document', lang)) AS key FROM documents")
 
 
-@_add("summaries")
+@_add("summaries", f"""WITH t AS (SELECT doc_id::VARCHAR AS segment_id, text FROM documents WHERE length({_trim('text')}) >= 10),
+w AS (SELECT segment_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}][\\p{{L}}\\p{{N}}_''-]*')) AS w FROM t), c AS (SELECT segment_id, w, count(*) AS n FROM w WHERE length(w) > 4 GROUP BY 1, 2),
+k AS (SELECT segment_id, string_agg(w, ',' ORDER BY n DESC, w) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY n DESC, w) AS i FROM c) WHERE i <= 5 GROUP BY 1)
+SELECT t.segment_id, md5(coalesce(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_trim('x')} <> '')[1], '')) AS summary, coalesce(keywords, '') AS keywords FROM t LEFT JOIN k ON t.segment_id = k.segment_id""")
 def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "text", F.lit("document").alias("segment_type"))
     return summarize.summarize(segments)[0].select("segment_id", F.md5("summary").alias("summary"), F.array_join("keywords", ",").alias("keywords"))
@@ -319,10 +363,10 @@ def _extract_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_graph(segments).nodes.select("id", "name", "entity_type", _r("confidence"))
 
 
-_add("entities_in_context", "SELECT d.doc_id::VARCHAR AS segment_id, 'q' || item_id AS entity_id FROM documents d JOIN (SELECT item_id, left(text, 40) AS q FROM benchmark) b ON contains(d.text, q)")(
+_add("entities_in_context", "SELECT d.doc_id::VARCHAR AS segment_id, 'q' || item_id AS entity_id FROM documents d JOIN (SELECT item_id, text AS q FROM benchmark) b ON contains(d.text, q)")(
     lambda spark, sf_dir: extract.entities_in_segments(
         _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "text"),
-        spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.concat(F.lit("q"), "item_id").alias("id"), F.lit("q").alias("name"), F.substring("text", 1, 40).alias("context")), strict=True,
+        spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.concat(F.lit("q"), "item_id").alias("id"), F.lit("q").alias("name"), F.col("text").alias("context")), strict=True,
     ).select("segment_id", "entity_id")
 )
 
@@ -335,7 +379,15 @@ _COLOR = "CASE lower(relation_type) WHEN 'is-a' THEN '#0000CD' WHEN 'part-of' TH
 _EDGE = f"relation_type AS label, relation_type || ' (confidence: ' || printf('%.2f', confidence) || ')' AS title, {_COLOR} AS color, round(1 + 4 * confidence, 6) AS width"
 _graph("viz_edge_style", lambda g: viz.edge_styles(g).withColumn("width", F.round("width", 6)), f"SELECT source_entity AS source, target_entity AS target, {_EDGE} FROM rel UNION ALL SELECT target_entity, source_entity, {_EDGE} FROM rel WHERE bidirectional")
 _graph("viz_filtered", lambda g: viz.filtered(g, ["Supplier", "Nation"], ["part_of", "similar-to"], 0.7).rels.select("id"), "SELECT id FROM rel WHERE confidence >= 0.7::DOUBLE AND relation_type IN ('part_of', 'similar-to') AND source_entity IN (SELECT id FROM ent WHERE confidence >= 0.7::DOUBLE AND entity_type IN ('Supplier', 'Nation')) AND target_entity IN (SELECT id FROM ent WHERE confidence >= 0.7::DOUBLE AND entity_type IN ('Supplier', 'Nation'))")
-_graph("graphml_lines", lambda g: graph_io.graphml_lines(g).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars")), None)
+_graph("graphml_lines", lambda g: graph_io.graphml_lines(g).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars")),
+       r""", x AS (SELECT *, '{' || concat_ws(',', '"brand":' || to_json(a_brand)::VARCHAR, '"kind":' || to_json(a_kind)::VARCHAR, '"segment":' || to_json(a_segment)::VARCHAR, '"size":' || to_json(a_size)::VARCHAR) || '}' AS attributes FROM ent),
+esc AS (SELECT length('<node id=""></node>') + length(id) + sum(length('<data key="' || k || '">||</data>') + length(replace(replace(replace(replace(v, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'))) AS n
+  FROM (SELECT id, unnest(['label', 'entity_type', 'confidence', 'attributes', 'context', 'metadata', 'ord']) AS k, unnest([name, entity_type, confidence::VARCHAR, attributes, context, '{}', ord::VARCHAR]) AS v FROM x) WHERE v IS NOT NULL GROUP BY id),
+re AS (SELECT length('<edge id="" source="" target=""></edge>') + length(id) + length(source_entity) + length(target_entity) + sum(length('<data key="' || k || '">||</data>') + length(v)) AS n
+  FROM (SELECT id, source_entity, target_entity, unnest(['relation_type', 'confidence', 'strength', 'attributes', 'bidirectional', 'context', 'metadata', 'ord']) AS k, unnest([relation_type, confidence::VARCHAR, strength::VARCHAR, '{}', bidirectional::VARCHAR, relation_type || ' by rule', '{}', ord::VARCHAR]) AS v FROM rel) GROUP BY id, source_entity, target_entity, n_()),
+head AS (SELECT unnest(['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<graph edgedefault="directed">']) AS line
+  UNION ALL SELECT '<key id="' || k || '" for="' || f || '" attr.name="' || k || '" attr.type="string"/>' FROM (VALUES ('label', 'node'), ('entity_type', 'node'), ('confidence', 'all'), ('attributes', 'all'), ('relation_type', 'edge'), ('strength', 'edge'), ('bidirectional', 'edge'), ('context', 'all'), ('metadata', 'all'), ('ord', 'all')) t(k, f))
+SELECT 0 AS part, count(*) AS n, sum(length(line))::BIGINT AS chars FROM head UNION ALL SELECT 1, count(*), sum(n)::BIGINT FROM esc UNION ALL SELECT 2, count(*), sum(n)::BIGINT FROM re UNION ALL SELECT 3, 1, length('</graph></graphml>')""".replace(", n_()", ""))
 _add("sanitize_name", "SELECT p_partkey, replace(replace(replace(p_name, ' ', '_'), '/', '_'), '\\', '_') AS name FROM part")(
     lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.translate("p_name", " /\\", "___").alias("name"))
 )
@@ -381,9 +433,14 @@ def _through(format: str, read: str) -> Callable[[KG], KG]:
     return run
 
 
-_graph("json_lines_round_trip", lambda g: _through("json", "jsonl")(g).nodes.select("id", "name", F.element_at("attributes", "brand").alias("brand"), _r("confidence")), "SELECT id, name, a_brand AS brand, round(confidence, 6) AS confidence FROM ent")
-_graph("graphml_round_trip", lambda g: _through("graphml", "graphml")(g).rels.select(*_REL, _r("confidence")), "SELECT id, source_entity, target_entity, relation_type, round(confidence, 6) AS confidence FROM rel")
-_graph("graphml_round_trip_entities", lambda g: _through("graphml", "graphml")(g).nodes.select("id", "name", "entity_type", F.element_at("attributes", "size").alias("size")), "SELECT id, name, entity_type, a_size AS size FROM ent")
+_ENT_ALL = lambda d: d.select("id", "name", "entity_type", "context", F.element_at("attributes", "brand").alias("brand"), F.element_at("attributes", "size").alias("size"), F.size("metadata").alias("facts"), "confidence", "ord")
+_ENT_ALL_SQL = "SELECT id, name, entity_type, context, a_brand AS brand, a_size AS size, 0 AS facts, confidence, ord FROM ent"
+_REL_ALL = lambda d: d.select(*_REL, "context", F.size("attributes").alias("values"), F.size("metadata").alias("facts"), "bidirectional", "strength", "confidence", "ord")
+_REL_ALL_SQL = "SELECT id, source_entity, target_entity, relation_type, relation_type || ' by rule' AS context, 0 AS values, 0 AS facts, bidirectional, strength, confidence, ord FROM rel"
+_graph("json_lines_round_trip", lambda g: _ENT_ALL(_through("json", "json")(g).nodes), _ENT_ALL_SQL)
+_graph("json_round_trip_relationships", lambda g: _REL_ALL(_through("json", "json")(g).rels), _REL_ALL_SQL)
+_graph("graphml_round_trip", lambda g: _REL_ALL(_through("graphml", "graphml")(g).rels), _REL_ALL_SQL)
+_graph("graphml_round_trip_entities", lambda g: _ENT_ALL(_through("graphml", "graphml")(g).nodes), _ENT_ALL_SQL)
 _graph("from_registries", lambda g: graph_io.from_registries(g.entities, g.relationships).rels.select("id"), "SELECT id FROM rel")
 _add("from_extraction", "SELECT 'e' || r_regionkey AS id, r_name AS name, 'Region' AS entity_type FROM region")(
     lambda spark, sf_dir: graph_io.from_extraction(

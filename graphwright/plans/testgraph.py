@@ -58,6 +58,13 @@ UNION ALL SELECT 'pi' || a.p_partkey || '_' || b.p_partkey, 'p' || a.p_partkey,
   FROM {part} a JOIN {part} b ON (a.p_partkey % 30 IN (0, 1) AND b.p_partkey = a.p_partkey + 1) OR (a.p_partkey % 30 = 2 AND b.p_partkey = a.p_partkey - 2)
 UNION ALL SELECT 'pn' || a.p_partkey, 'p' || a.p_partkey, 'p' || b.p_partkey, 'is-not-a', false, CAST(0.5 AS DOUBLE), CAST(0.55 AS DOUBLE), 13000000000000000 + a.p_partkey
   FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 2 WHERE a.p_partkey % 60 = 0
+UNION ALL SELECT 'pl' || a.p_partkey, 'p' || a.p_partkey, 'p' || b.p_partkey, 'subclass-of', false, CAST(0.5 AS DOUBLE), CAST(0.8 AS DOUBLE), 15000000000000000 + a.p_partkey
+  FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 30 BETWEEN 10 AND 17
+UNION ALL SELECT 'pd' || a.p_partkey, 'p' || a.p_partkey, 'p' || b.p_partkey, 'separate-from', false, CAST(0.5 AS DOUBLE), CAST(0.7 AS DOUBLE), 16000000000000000 + a.p_partkey
+  FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 8 WHERE a.p_partkey % 30 = 10
+UNION ALL SELECT 'p5' || a.p_partkey || '_' || b.p_partkey, 'p' || a.p_partkey, 'p' || b.p_partkey, 'contains', false, CAST(0.5 AS DOUBLE),
+  CAST(0.6 AS DOUBLE) + CAST(a.p_partkey % 5 AS DOUBLE) / 10, 17000000000000000 + a.p_partkey
+  FROM {part} a JOIN {part} b ON (a.p_partkey % 30 BETWEEN 20 AND 23 AND b.p_partkey = a.p_partkey + 1) OR (a.p_partkey % 30 = 24 AND b.p_partkey = a.p_partkey - 4)
 UNION ALL SELECT 'px' || p_partkey, 'p' || p_partkey, 'x' || p_partkey, 'related-to', false, CAST(0.5 AS DOUBLE), CAST(0.9 AS DOUBLE), 14000000000000000 + p_partkey FROM {part} WHERE p_partkey % 101 = 0
 """
 

@@ -32,25 +32,60 @@ def from_registries(entities: DataFrame, relationships: DataFrame, name: str = "
     return KG(entities, relationships, name=name, meta=dict(meta or {}))
 
 
-def read_json(spark: SparkSession, path: str) -> KG:
-    """Graph of one nested JSON file; the name defaults to the file's."""
-    text = spark.read.text(path, wholetext=True).first()[0]
-    data = json.loads(text)
-    data.setdefault("name", PurePosixPath(path).stem)
-    return from_dict(spark, data) if isinstance(data.get("entities"), dict) else from_extraction(spark, data)
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_lines(spark: SparkSession, path: str) -> KG:
-    """Graph of the two JSON-lines tables that :func:`write_lines` wrote."""
+def read_json(spark: SparkSession, path: str) -> KG:
+    """Graph of a folder that :func:`write_lines` wrote, or of nested JSON files; the name defaults to the path's last part.
 
+    A nested file is parsed by an executor and its entries become rows there; only its name and metadata reach
+    the driver.  A file without id-keyed dictionaries is an extraction result and is read as :func:`from_extraction` does.
+    """
+    if _exists(spark, f"{path}/entities"):
+        return read_lines(spark, path)
+    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    head = text.select(F.schema_of_variant(F.try_variant_get("v", "$.entities", "variant")).startswith("OBJECT").alias("keyed"), F.try_variant_get("v", "$.name", "string").alias("name"),
+                       F.try_variant_get("v", "$.metadata", "map<string,string>").alias("meta")).first()
+    if head is None or not head["keyed"]:
+        data = json.loads(spark.read.text(path, wholetext=True).first()[0])
+        return from_extraction(spark, {"name": PurePosixPath(path).stem, **data})
+
+    def entries(name: str) -> DataFrame:
+        found = F.try_variant_get("v", f"$.{name}", "map<string,variant>")
+        rows = text.select(F.posexplode(F.coalesce(found, F.create_map().cast("map<string,variant>"))).alias("place", "id", "x"))
+        get = lambda key, kind: F.try_variant_get("x", f"$.{key}", kind)
+        plain = lambda key: F.coalesce(get(key, "map<string,string>"), F.create_map().cast("map<string,string>"))
+        typed = F.coalesce(get("attributes", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+        shared = [
+            F.coalesce(get("id", "string"), "id").alias("id"), get("context", "string").alias("context"), F.transform_values(typed, lambda _, x: F.to_json(x)).alias("attributes"),
+            plain("metadata").alias("metadata"), F.coalesce(get("confidence", "double"), F.lit(1.0)).alias("confidence"), F.coalesce(get("ord", "bigint"), F.col("place").cast("bigint")).alias("ord"),
+        ]
+        if name == "entities":
+            own = [get("name", "string").alias("name"), F.coalesce(get("entity_type", "string"), get("type", "string")).alias("entity_type")]
+        else:
+            own = [F.coalesce(get(f"{c}_entity", "string"), get(c, "string")).alias(f"{c}_entity") for c in ("source", "target")]
+            own += [F.coalesce(get("relation_type", "string"), get("type", "string")).alias("relation_type"), F.coalesce(get("bidirectional", "boolean"), F.lit(False)).alias("bidirectional"), F.coalesce(get("strength", "double"), F.lit(1.0)).alias("strength")]
+        order = [c.split()[0] for c in (ENTITIES if name == "entities" else RELATIONSHIPS).split(", ")]
+        return rows.select(*own, *shared).select(*order)
+
+    return KG(entries("entities"), entries("relationships"), name=head["name"] or PurePosixPath(path).stem, meta=dict(head["meta"] or {}))
 
-    return KG(spark.read.schema(ENTITIES).json(f"{path}/entities"), spark.read.schema(RELATIONSHIPS).json(f"{path}/relationships"))
+
+def read_lines(spark: SparkSession, path: str) -> KG:
+    """Graph of the JSON-lines tables that :func:`write_lines` wrote."""
+    facts = spark.read.schema("name string, meta map<string,string>").json(f"{path}/graph").first() if _exists(spark, f"{path}/graph") else None
+    tables = [spark.read.schema(shape).json(f"{path}/{name}") for name, shape in (("entities", ENTITIES), ("relationships", RELATIONSHIPS))]
+    return KG(*tables, name=facts["name"] if facts else PurePosixPath(path).stem, meta=dict(facts["meta"] or {}) if facts else {})
 
 
 def write_lines(kg: KG, path: str) -> None:
-    """Two tables of JSON lines: the form for graphs of any size."""
+    """Tables of JSON lines, and the graph's name and metadata: the form for graphs of any size."""
     kg.nodes.write.mode("overwrite").json(f"{path}/entities")
     kg.rels.write.mode("overwrite").json(f"{path}/relationships")
+    facts = kg.entities.sparkSession.createDataFrame([(kg.name, {k: str(v) for k, v in kg.meta.items()})], "name string, meta map<string,string>")
+    facts.coalesce(1).write.mode("overwrite").json(f"{path}/graph")
 
 
 def to_dict(kg: KG, most: int = 100_000) -> dict:
@@ -113,45 +148,54 @@ def cypher_lines(kg: KG) -> DataFrame:
 
 
 def _xml(text: Column) -> Column:
-    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
         text = F.replace(text, F.lit(raw), F.lit(escaped))
     return text
 
 
 def graphml_lines(kg: KG) -> DataFrame:
-    """GraphML as ``(part, ord, line)``; attributes are JSON text."""
+    """GraphML as ``(part, ord, line)`` with every column of the tables; attributes and metadata are JSON text, nulls have no element."""
     spark = kg.entities.sparkSession
-    data = lambda key, c: F.concat(F.lit(f'<data key="{key}">'), _xml(c), F.lit("</data>"))
-    keys = [("label", "node"), ("entity_type", "node"), ("confidence", "all"), ("attributes", "all"), ("relation_type", "edge"), ("strength", "edge")]
+    # Text is kept between bars, so that no reader trims it or takes it for a null.
+    data = lambda key, c: F.coalesce(F.concat(F.lit(f'<data key="{key}">|'), _xml(c), F.lit("|</data>")), F.lit(""))
+    shared = lambda: [data("context", F.col("context")), data("metadata", F.to_json("metadata")), data("ord", F.col("ord").cast("string"))]
+    keys = [("label", "node"), ("entity_type", "node"), ("confidence", "all"), ("attributes", "all"), ("relation_type", "edge"), ("strength", "edge"), ("bidirectional", "edge"), ("context", "all"), ("metadata", "all"), ("ord", "all")]
     head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
     head += [f'<key id="{k}" for="{f}" attr.name="{k}" attr.type="string"/>' for k, f in keys] + ['<graph edgedefault="directed">']
     frame = spark.createDataFrame([(0, i, x) for i, x in enumerate(head)] + [(3, 0, "</graph></graphml>")], "part int, ord bigint, line string")
     nodes = kg.nodes.select(F.lit(1).alias("part"), "ord", F.concat(
         F.lit('<node id="'), _xml(F.col("id")), F.lit('">'), data("label", F.col("name")), data("entity_type", F.col("entity_type")),
-        data("confidence", F.col("confidence").cast("string")), data("attributes", F.to_json("attributes")), F.lit("</node>")).alias("line"))
+        data("confidence", F.col("confidence").cast("string")), data("attributes", F.to_json("attributes")), *shared(), F.lit("</node>")).alias("line"))
     rels = kg.rels.select(F.lit(2).alias("part"), "ord", F.concat(
         F.lit('<edge id="'), _xml(F.col("id")), F.lit('" source="'), _xml(F.col("source_entity")), F.lit('" target="'), _xml(F.col("target_entity")), F.lit('">'),
         data("relation_type", F.col("relation_type")), data("confidence", F.col("confidence").cast("string")), data("strength", F.col("strength").cast("string")),
-        data("attributes", F.to_json("attributes")), F.lit("</edge>")).alias("line"))
+        data("attributes", F.to_json("attributes")), data("bidirectional", F.col("bidirectional").cast("string")), *shared(), F.lit("</edge>")).alias("line"))
     return frame.unionByName(nodes).unionByName(rels)
 
 
 def read_graphml(spark: SparkSession, path: str) -> KG:
     """Graph of a GraphML file as :func:`graphml_lines` renders it."""
     data = "data ARRAY<STRUCT<_key: STRING, _VALUE: STRING>>"
-    nodes = spark.read.format("xml").option("rowTag", "node").schema(f"_id STRING, {data}").load(path)
-    edges = spark.read.format("xml").option("rowTag", "edge").schema(f"_id STRING, _source STRING, _target STRING, {data}").load(path)
-    field = lambda k: F.element_at(F.filter("data", lambda d: d["_key"] == k), 1)["_VALUE"]
-    attributes = F.from_json(field("attributes"), "map<string,string>")
+    source = lambda tag: spark.read.format("xml").option("rowTag", tag).option("nullValue", "\u0000")
+    nodes = source("node").schema(f"_id STRING, {data}").load(path)
+    edges = source("edge").schema(f"_id STRING, _source STRING, _target STRING, {data}").load(path)
+
+
+    def field(key: str) -> Column:
+        value = F.get(F.filter("data", lambda d: d["_key"] == key), F.lit(0))["_VALUE"]
+        # Files of other writers have no bars.
+        return F.when(value.rlike(r"(?s)^\|.*\|$"), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
     empty = F.create_map().cast("map<string,string>")
-    ord_ = F.monotonically_increasing_id()
+    attributes, metadata = (F.coalesce(F.from_json(field(c), "map<string,string>"), empty) for c in ("attributes", "metadata"))
+    ord_ = F.coalesce(field("ord").cast("bigint"), F.monotonically_increasing_id())
     entities = nodes.where("_id is not null").select(
-        F.col("_id").alias("id"), field("label").alias("name"), field("entity_type").alias("entity_type"), F.lit(None).cast("string").alias("context"), F.coalesce(attributes, empty).alias("attributes"),
-        empty.alias("metadata"), field("confidence").cast("double").alias("confidence"), ord_.alias("ord"),
+        F.col("_id").alias("id"), field("label").alias("name"), field("entity_type").alias("entity_type"), field("context").alias("context"), attributes.alias("attributes"),
+        metadata.alias("metadata"), field("confidence").cast("double").alias("confidence"), ord_.alias("ord"),
     )
     rels = edges.where("_id is not null").select(
-        F.col("_id").alias("id"), F.col("_source").alias("source_entity"), F.col("_target").alias("target_entity"), field("relation_type").alias("relation_type"), F.lit(None).cast("string").alias("context"),
-        F.coalesce(attributes, empty).alias("attributes"), empty.alias("metadata"), F.lit(False).alias("bidirectional"), field("strength").cast("double").alias("strength"),
+        F.col("_id").alias("id"), F.col("_source").alias("source_entity"), F.col("_target").alias("target_entity"), field("relation_type").alias("relation_type"), field("context").alias("context"),
+        attributes.alias("attributes"), metadata.alias("metadata"), F.coalesce(field("bidirectional").cast("boolean"), F.lit(False)).alias("bidirectional"), field("strength").cast("double").alias("strength"),
         field("confidence").cast("double").alias("confidence"), ord_.alias("ord"),
     )
     return KG(entities, rels, name=PurePosixPath(path).stem)
@@ -171,7 +215,7 @@ def export(kg: KG, path: str, format: str) -> None:
 
 
 def import_graph(spark: SparkSession, path: str, format: str) -> KG:
-    """Read a graph that :func:`export` (or a nested JSON file) holds."""
+    """Read a graph that :func:`export` wrote, or a nested JSON file."""
     readers = {"json": read_json, "jsonl": read_lines, "graphml": read_graphml}
     if format not in readers:
         raise ValueError(f"unknown format {format!r}; known: {sorted(readers)}")
