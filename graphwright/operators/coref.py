@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import replace
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphwright.operators.graph import KG
@@ -16,6 +18,10 @@ from graphwright.operators.registry import merge_groups, normalize_name, repoint
 from graphwright.plans.durable import durable
 
 THRESHOLD = 0.7
+#: Names of a block, and bins that their characters are counted in.
+BLOCK, BINS = 1024, 128
+#: Sweeps of first names over the free ones before the rest is compared pair by pair.
+SWEEPS = 6
 
 
 def name_ratio(a: Column, b: Column) -> Column:
@@ -34,42 +40,121 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def _bags(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, and how often each of ``BINS`` hashed characters occurs in each name."""
+    lengths = np.fromiter(map(len, names), np.int64, len(names))
+    codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), "<u4")
+    place = np.repeat(np.arange(len(names)), lengths) * BINS + codes % BINS
+    return lengths, np.bincount(place, minlength=len(names) * BINS).reshape(len(names), BINS).astype(np.int16)
+
+
+def _may_be_similar(a: list[str], b: list[str], threshold: float, measure: str) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that lengths and common characters do not rule out; no similar pair is ruled out.
+
+    Matched characters of ``ratio``, and characters that edits leave in place, are common to both names.
+    """
+    (la, ca), (lb, cb) = _bags(a), _bags(b)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in range(len(a)):
+        least = threshold * (la[i] + lb) / 2 if measure == "ratio" else threshold * np.maximum(la[i], lb)
+        j = np.flatnonzero(np.minimum(la[i], lb) >= least - 1e-9)
+        j = j[np.minimum(ca[i], cb[j]).sum(axis=1) >= least[j] - 1e-9]
+        found.append((np.full(len(j), i), j))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def similar_names(names: DataFrame, threshold: float, measure: str) -> DataFrame:
+    """``(entity_type, n1, n2, similarity)`` of different names of one type, both ways round; ``names``: distinct ``(entity_type, n)``.
+
+    The names of a type lie in hash blocks of about ``BLOCK`` names, and every pair of blocks is compared in
+    one place, so that a type of any size takes bounded memory; only pairs that pass the bound leave it.
+    """
+    sizes = names.groupBy("entity_type").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = names.join(F.broadcast(sizes) if sizes.count() < 10_000 else sizes, "entity_type").withColumn("own", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("entity_type", "n", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        own, n = table.column("own").to_numpy(), table.column("n").to_pylist()
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        left, right = [x for x, o in zip(n, own, strict=True) if o == low], [x for x, o in zip(n, own, strict=True) if o == high]
+        i, j = _may_be_similar(left, right, threshold, measure)
+        keep = i < j if low == high else slice(None)
+        i, j = i[keep].tolist(), j[keep].tolist()
+        return pa.table({"entity_type": pa.array([table.column("entity_type")[0].as_py()] * len(i), pa.string()), "n1": pa.array([left[x] for x in i], pa.string()), "n2": pa.array([right[x] for x in j], pa.string())})
+
+    pairs = placed.groupBy("entity_type", "low", "high").applyInArrow(compare, "entity_type string, n1 string, n2 string")
+    both = pairs.unionByName(pairs.select("entity_type", F.col("n2").alias("n1"), F.col("n1").alias("n2"))) if measure == "ratio" else pairs
+    score = name_ratio(F.col("n1"), F.col("n2")) if measure == "ratio" else edit_similarity(F.col("n1"), F.col("n2"))
+    scored = both.withColumn("similarity", score).where(F.col("similarity") >= threshold)
+    return scored if measure == "ratio" else scored.unionByName(scored.select("entity_type", F.col("n2").alias("n1"), F.col("n1").alias("n2"), "similarity"))
+
+
+def _names(entities: DataFrame) -> DataFrame:
+    return durable(entities.where("name is not null and entity_type is not null").select("id", "entity_type", "ord", normalize_name(F.col("name")).alias("n")), "names")
+
+
 def similar_pairs(entities: DataFrame, threshold: float = THRESHOLD, measure: str = "ratio") -> DataFrame:
     """``(id1, id2, ord1, ord2, similarity)`` of entities of one type whose lower-case names are similar; id1 is the earlier.
 
-    Both measures need many characters in common: at least t / (2 - t) of the longer
-    name for ``ratio``, t for ``edit``.  So a pair shares a character (numbered by
-    occurrence) among the rarest ones of each name that could be missing, and names
-    meet on those only; no pair is lost, and no type is crossed with itself.
+    Every pair is a row, so entities of one name are quadratic in the result; grouping goes by
+    :func:`similar_groups`, which does not list them.
     """
-    part = threshold / (2 - threshold) if measure == "ratio" else threshold
-    names = durable(entities.where("name is not null").select("id", "entity_type", "ord", normalize_name(F.col("name")).alias("n")), "names")
+    names = _names(entities)
     kinds = names.select("entity_type", "n").distinct()
-    chars = F.filter(F.split("n", ""), lambda c: c != "")
-    nth = F.transform(chars, lambda c, i: F.struct(c.alias("c"), F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).alias("k")))
-    tokens = durable(kinds.select("entity_type", "n", F.explode(nth).alias("token")), "tokens")
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-    ranked = tokens.join(counts, "token").groupBy("entity_type", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("t"))
-    keep = F.size("t") - F.ceil(F.size("t") * F.lit(part) - 1e-9).cast("int") + 1
-    heads = ranked.select("entity_type", "n", F.explode(F.slice("t", F.lit(1), keep)).alias("h")).select("entity_type", "n", "h.token")
-    a, b = heads.withColumnRenamed("n", "n1"), heads.withColumnRenamed("n", "n2")
-    near = F.least(F.length("n1"), F.length("n2")) >= F.lit(part - 1e-9) * F.greatest(F.length("n1"), F.length("n2"))
-    kinds_pairs = a.join(b, ["entity_type", "token"]).where("n1 < n2").where(near).select("entity_type", "n1", "n2").distinct()
-    equal = kinds.select("entity_type", F.col("n").alias("n1"), F.col("n").alias("n2"))
-    both = kinds_pairs.unionByName(kinds_pairs.select("entity_type", F.col("n2").alias("n1"), F.col("n1").alias("n2"))).unionByName(equal)
-    if measure == "ratio":
-        scored = both.withColumn("similarity", name_ratio(F.col("n1"), F.col("n2")))
-    else:
-        scored = both.withColumn("similarity", edit_similarity(F.col("n1"), F.col("n2")))
-    scored = scored.where(F.col("similarity") >= threshold)
+    equal = kinds.select("entity_type", F.col("n").alias("n1"), F.col("n").alias("n2"), F.lit(1.0).alias("similarity"))
+    scored = similar_names(kinds, threshold, measure).unionByName(equal)
     first = names.select("entity_type", F.col("n").alias("n1"), F.col("id").alias("id1"), F.col("ord").alias("ord1"))
     second = names.select("entity_type", F.col("n").alias("n2"), F.col("id").alias("id2"), F.col("ord").alias("ord2"))
     found = scored.join(first, ["entity_type", "n1"]).join(second, ["entity_type", "n2"])
     return found.where("ord1 < ord2 or (ord1 = ord2 and id1 < id2)").select("id1", "id2", "ord1", "ord2", "similarity")
 
 
+def _near_heads(free: DataFrame, heads: DataFrame, threshold: float, measure: str) -> DataFrame:
+    """Pairs ``(id1, id2, ord1, ord2)`` of a head with a later free class of its type that is similar."""
+    side = heads.select("entity_type", F.col("n").alias("n1"), F.col("id").alias("id1"), F.col("ord").alias("ord1"))
+    both = free.withColumnsRenamed({"n": "n2", "id": "id2", "ord": "ord2"}).join(F.broadcast(side) if side.count() <= 100_000 else side, "entity_type")
+    both = both.where("ord1 < ord2 or (ord1 = ord2 and id1 < id2)")
+    part = threshold / (2 - threshold) if measure == "ratio" else threshold
+    both = both.where(F.least(F.length("n1"), F.length("n2")) >= (part - 1e-9) * F.greatest(F.length("n1"), F.length("n2")))
+    score = name_ratio(F.col("n1"), F.col("n2")) if measure == "ratio" else edit_similarity(F.col("n1"), F.col("n2"))
+    return both.withColumn("similarity", score).where(F.col("similarity") >= threshold).select("id1", "id2", "ord1", "ord2")
+
+
+def similar_groups(entities: DataFrame, threshold: float = THRESHOLD, measure: str = "ratio") -> DataFrame:
+    """``(id, center)``: :func:`star_groups` of all entities, by way of the names they share.
+
+    Types full of similar names would have a pair for every two of them, although a few centres take them all.  So the
+    first names of a type, one, two, four and so on, are compared with all that are still free, in
+    ``SWEEPS`` sweeps; what is free after them goes by pairs.
+    """
+    names = _names(entities)
+    classes = durable(names.groupBy("entity_type", "n").agg(F.min(F.struct("ord", "id")).alias("head")), "classes")
+    free = durable(classes.select("entity_type", "n", F.col("head.id").alias("id"), F.col("head.ord").alias("ord")), "free")
+    taken: list[DataFrame] = []
+    for sweep in range(SWEEPS):
+        place = Window.partitionBy("entity_type").orderBy("ord", "id")
+        heads = durable(free.withColumn("k", F.row_number().over(place)).where(F.col("k") <= 2**sweep).drop("k"), "heads")
+        if heads.isEmpty():
+            break
+        got = durable(star_groups(durable(_near_heads(free, heads, threshold, measure), "near")), "taken")
+        taken.append(got)
+        left = free.join(heads.select("id"), "id", "left_anti").join(got.select("id"), "id", "left_anti")
+        free = durable(left.select("entity_type", "n", "id", "ord"), "free", replaces=free)
+    scored = similar_names(free.select("entity_type", "n"), threshold, measure)
+    side = lambda k: free.select("entity_type", F.col("n").alias(f"n{k}"), F.col("id").alias(f"id{k}"), F.col("ord").alias(f"ord{k}"))
+    pairs = scored.join(side(1), ["entity_type", "n1"]).join(side(2), ["entity_type", "n2"])
+    stars = star_groups(pairs.where("ord1 < ord2 or (ord1 = ord2 and id1 < id2)").select("id1", "id2", "ord1", "ord2"))
+    for got in taken:
+        stars = stars.unionByName(got)
+    stars = durable(stars, "stars")
+    members = names.join(classes, ["entity_type", "n"]).where(F.col("id") != F.col("head.id")).select("id", F.col("head.id").alias("first"))
+    rest = members.join(stars.withColumnRenamed("id", "first"), "first", "left")
+    return stars.unionByName(rest.select("id", F.coalesce("center", "first").alias("center")))
+
+
 def star_groups(pairs: DataFrame) -> DataFrame:
-    """``(id, center)``: greedy grouping in order of ``ord``, not transitive.
+    """``(id, center)``: greedy grouping in order of ``ord``, not transitive; whoever has no pair as the earlier one is no centre.
 
     An entity becomes a centre unless an earlier centre has taken it; a centre takes
     all its later similar entities that are free.  Rounds decide at once every
@@ -130,7 +215,7 @@ def resolve(kg: KG, threshold: float = THRESHOLD, measure: str = "ratio", decisi
     stay apart.  Relationships follow the id map unless that is switched off.
     """
     nodes = durable(kg.nodes, "nodes")
-    stars = durable(star_groups(similar_pairs(nodes, threshold, measure)), "stars")
+    stars = durable(similar_groups(nodes, threshold, measure), "groups")
     members = stars.unionByName(stars.select(F.col("center").alias("id"), "center").distinct())
     listed = nodes.join(members, "id")
     rule = listed.groupBy("center").agg(

@@ -285,11 +285,10 @@ _graph("remove_relationship", lambda g: g.remove_relationships(["cn1", "nr2"]).r
 _graph("add_entity", lambda g: g.add_entities(entity_frame(g.entities.sparkSession, [{"id": "n1", "name": "Renamed", "type": "Nation"}, {"id": "new", "name": "New", "type": "Nation"}])).nodes.select("id", "name", "entity_type"),
        "SELECT id, CASE id WHEN 'n1' THEN 'Renamed' ELSE name END AS name, entity_type FROM ent UNION ALL SELECT 'new', 'New', 'Nation'")
 _graph("relationship_reverse", lambda g: reverse(g.rels).select("id", "source_entity", "target_entity"), "SELECT id || '_reversed' AS id, target_entity AS source_entity, source_entity AS target_entity FROM rel")
-_SURE = 0.95
-_graph("coref_edit", lambda g: coref.similar_pairs(g.nodes, _SURE, "edit").select("id1", "id2", _r("similarity")),
-       f", x AS (SELECT id, ord, entity_type, trim(lower(name)) AS n FROM ent), s AS (SELECT a.id AS id1, b.id AS id2, 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) AS similarity FROM x a JOIN x b ON a.entity_type = b.entity_type AND a.ord < b.ord) SELECT id1, id2, round(similarity, 6) AS similarity FROM s WHERE similarity >= {_SURE}")
-_graph("coref_ratio", lambda g: coref.similar_pairs(g.nodes, _SURE).select("id1", "id2", _r("similarity")), None)
-_graph("coref_groups", lambda g: coref.resolve(g, _SURE)[1].select("canonical_name", F.size("entity_ids").alias("n"), _r("confidence")), None)
+_graph("coref_edit", lambda g: coref.similar_pairs(g.nodes, measure="edit").select("id1", "id2", _r("similarity")),
+       f", x AS (SELECT id, ord, entity_type, trim(lower(name)) AS n FROM ent), s AS (SELECT a.id AS id1, b.id AS id2, 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) AS similarity FROM x a JOIN x b ON a.entity_type = b.entity_type AND a.ord < b.ord) SELECT id1, id2, round(similarity, 6) AS similarity FROM s WHERE similarity >= {coref.THRESHOLD}")
+_graph("coref_ratio", lambda g: coref.similar_pairs(g.nodes).select("id1", "id2", _r("similarity")), None)
+_graph("coref_groups", lambda g: coref.resolve(g)[1].select("canonical_name", F.size("entity_ids").alias("n"), _r("confidence")), None)
 
 # --- text -------------------------------------------------------------------------------------------------------------
 
