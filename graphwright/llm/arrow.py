@@ -12,15 +12,23 @@ from graphwright.plans.spread import spread
 
 #: Rows handled at a time; texts are kilobytes long, so that what is made of them stays at some megabytes.
 ROWS_PER_BATCH = 500
-#: Bytes of results after which a batch is handed on.
+#: Bytes after which a batch is closed early, for runs of very long texts.
 BYTES_PER_BATCH = 16 << 20
 
 
 def map_small(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow`` over slices of at most ``ROWS_PER_BATCH`` rows; small inputs are dealt to all cores.
+    """``df.mapInArrow`` in batches of bounded rows and bytes; small inputs are dealt to all cores.
 
-    Slicing costs no copy and leaves the session's own batch settings alone.
+    Spark reads the size of its batches when a plan runs, which for a returned frame is the caller's time.  So
+    the session's two limits are lowered here where they are higher (they change memory, never results), and
+    are never raised.  Slices of longer batches, as a caller may set them later, cost no copy.
     """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}")
+        digits = now.rstrip("bB")
+        if not digits.isdigit() or not 0 < int(digits) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
