@@ -17,7 +17,8 @@ there are also edges both ways between a host and the host named without its fir
 label, while three labels remain; that is a statement about names, not about links.
 
 Both scores are those of the converged propagation: rounds go on until all later ones
-together would add less than ``LEFT`` to any score.  Hubs have their links dealt over
+together would add less than ``LEFT`` to any score.  A host graph of up to ``SMALL`` rows is
+finished in one task, a larger one by joins, ``CHAIN`` rounds a job.  Hubs have their links dealt over
 several places, to which their one score is sent.
 
 Defined results: null urls and urls without ``://`` have empty host and path, no
@@ -28,6 +29,10 @@ are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +46,8 @@ DAMPING = 0.85
 LEFT = 1e-8
 #: Rounds of one job; links of a hub that are dealt to one place.
 CHAIN, PER_PLACE = 8, 4096
+#: Rows of a host graph up to which one task runs all rounds; a constant, whatever the input. Larger ones go round by round.
+SMALL = 50_000
 THRESHOLD = 0.5
 HREF = r"""(?i)(?:^|[\s"'/])href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'<>\s]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -123,6 +130,9 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING) -> D
     ways = _ways(seeds, edges, damping)
     first = seeds.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"{k[0]}:"), "host").alias("node"), F.col(k).alias("s")) for k in ("trust", "distrust")])).alias("x"))
     first = first.select("x.node", (F.lit(1 - damping) * F.col("x.s")).alias("s")).where("s > 0")
+    if ways.count() <= SMALL:
+        scores = _in_one_task(first, ways, damping)
+        return _by_host(scores)
     places = ways.where("stays > 0").select("node", F.col("to_places").alias("places"))
     state = durable(first.join(places, "node").select("node", "places", "s", F.lit(0.0).alias("total")), "state")
     while (state.agg(F.sum("s")).first()[0] or 0.0) / (1 - damping) >= LEFT:
@@ -133,8 +143,43 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING) -> D
                 F.first("to_places").alias("places"), F.sum(F.col("s") * F.col("p")).alias("s"), F.sum((F.col("total") + F.col("s")) * F.col("stays")).alias("total")
             )
         state = durable(ahead, "state", replaces=state)
-    score = lambda kind: F.sum(F.when(F.col("node").startswith(f"{kind[0]}:"), F.col("total") + F.col("s")).otherwise(0.0)).alias(kind)
-    return state.groupBy(F.substr("node", F.lit(3)).alias("host")).agg(score("trust"), score("distrust"))
+    return _by_host(state.select("node", (F.col("total") + F.col("s")).alias("score")))
+
+
+def _by_host(scores: DataFrame) -> DataFrame:
+    """``(host, trust, distrust)`` of ``(node, score)``."""
+    score = lambda kind: F.sum(F.when(F.col("node").startswith(f"{kind[0]}:"), F.col("score")).otherwise(0.0)).alias(kind)
+    return scores.groupBy(F.substr("node", F.lit(3)).alias("host")).agg(score("trust"), score("distrust"))
+
+
+def _in_one_task(first: DataFrame, ways: DataFrame, damping: float) -> DataFrame:
+    """``(node, score)`` as the rounds of :func:`propagate` give them, for at most ``SMALL`` ways, in one task."""
+    links = ways.where("stays = 0").select("node", "to", "p")
+    rows = links.unionByName(first.select("node", F.lit(None).cast("string").alias("to"), F.col("s").alias("p")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[str, int] = {}
+        at, to, p, seeds = [], [], [], []
+        for batch in batches:
+            for node, target, value in zip(*(batch.column(c).to_pylist() for c in ("node", "to", "p")), strict=True):
+                i = numbers.setdefault(node, len(numbers))
+                if target is None:
+                    seeds.append((i, value))
+                else:
+                    at.append(i)
+                    to.append(numbers.setdefault(target, len(numbers)))
+                    p.append(value)
+        flow = np.zeros(len(numbers))
+        for i, value in seeds:
+            flow[i] += value
+        total = flow.copy()
+        source, target, share = np.array(at, np.int64), np.array(to, np.int64), np.array(p)
+        while flow.sum() / (1 - damping) >= LEFT:
+            flow = np.bincount(target, flow[source] * share, len(numbers))
+            total += flow
+        yield pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()), pa.array(total)], names=["node", "score"])
+
+    return rows.coalesce(1).mapInArrow(run, "node string, score double")
 
 
 def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, threshold: float = THRESHOLD, parents: bool = False) -> DataFrame:
