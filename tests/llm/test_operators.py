@@ -662,9 +662,10 @@ def test_url_rules(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-@pytest.mark.parametrize("parents", [False, True])
-def test_url_propagation_equals_brute_force(spark, parents, monkeypatch):
+@pytest.mark.parametrize("parents,small", [(False, True), (True, True), (True, False)])
+def test_url_propagation_equals_brute_force(spark, parents, small, monkeypatch):
     monkeypatch.setattr(urlfilter, "PER_PLACE", 2)
+    monkeypatch.setattr(urlfilter, "SMALL", 50_000 if small else 0)
     forms = ['<a href="http://{}/x">', "<A HREF='HTTPS://{}?q'>", "<a class=c href=//{}/y>", "<a href = http://{}#z>", '<a href="/rel//{}">', '<a data-href="http://{}/">']
     rng = np.random.default_rng(8)
     hosts = [f"h{i}.{t}" for i, t in enumerate(["example.com", "net", "site.org", "example.net", "co.com"] * 6)]
