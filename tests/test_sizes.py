@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import duckdb
 
+from graphwright.operators.graph import KG
 from graphwright.plans import testgraph
+from graphwright.schema import entity_frame, relationship_frame
+from graphwright.sources import graph_io
 
 DIR = "/root/testdata/sf0.001"
 
@@ -26,3 +29,21 @@ def test_conditions_with_a_key_give_the_rows_of_the_definition(spark):
     wanted = con.sql(f"SELECT id, source_entity, target_entity, ord FROM ({definition})").fetchall()
     got = testgraph._build_relationships(spark, DIR).select("id", "source_entity", "target_entity", "ord").collect()
     assert sorted(map(tuple, got)) == sorted(wanted)
+
+
+def test_graphml_of_many_part_files_is_read_whole(spark, tmp_path):
+    nodes = [{"id": f"n{i}", "name": f"<{i}>", "type": "T", "ord": i} for i in range(200)]
+    kg = KG(entity_frame(spark, nodes), relationship_frame(spark, [{"id": f"r{i}", "source": f"n{i}", "target": f"n{(i + 1) % 200}", "type": "t", "ord": i} for i in range(200)]))
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        graph_io.export(kg, str(tmp_path / "parts"), "graphml")
+    finally:
+        spark.conf.unset(setting)
+    assert len(list((tmp_path / "parts").glob("part-*"))) > 1
+    again = graph_io.import_graph(spark, str(tmp_path / "parts"), "graphml")
+    for a, b in ((kg.nodes, again.nodes), (kg.rels, again.rels)):
+        assert sorted(map(str, a.drop("attributes", "metadata").collect())) == sorted(map(str, b.drop("attributes", "metadata").collect()))
+    (tmp_path / "other.graphml").write_text('<graphml>\n<graph>\n<node id="a"/><node id="b">\n<data key="label">B</data>\n</node>\n<edge source="a"\n target="b"/></graph></graphml>')
+    other = graph_io.import_graph(spark, str(tmp_path / "other.graphml"), "graphml")
+    assert sorted(r.id for r in other.entities.collect()) == ["a", "b"]
