@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
+from graphwright.operators import conflicts
 from graphwright.operators.graph import KG
 from graphwright.plans import testgraph
 from graphwright.schema import entity_frame, relationship_frame
@@ -47,3 +51,31 @@ def test_graphml_of_many_part_files_is_read_whole(spark, tmp_path):
     (tmp_path / "other.graphml").write_text('<graphml>\n<graph>\n<node id="a"/><node id="b">\n<data key="label">B</data>\n</node>\n<edge source="a"\n target="b"/></graph></graphml>')
     other = graph_io.import_graph(spark, str(tmp_path / "other.graphml"), "graphml")
     assert sorted(r.id for r in other.entities.collect()) == ["a", "b"]
+
+
+def test_counts_of_conflicts_are_those_of_the_listed_ones(spark):
+    some = random.Random(3)
+    nodes = []
+    for i in range(150):
+        attributes = {k: some.choice(["x", "y", 1]) for k in "abc" if some.random() < 0.6}
+        nodes.append({"id": f"n{i}", "name": some.choice(["A", "B", "C"]), "type": some.choice("TU"), "attributes": attributes, "confidence": some.choice([0.4, 0.7, 0.9]), "ord": i})
+    rels = [{"id": f"r{i}", "source": f"n{some.randrange(12)}", "target": f"n{some.randrange(12)}", "type": some.choice(["is-a", "is-not-a", "causes", "prevents"]), "confidence": 0.8, "ord": i} for i in range(80)]
+    entities = entity_frame(spark, nodes).unionByName(entity_frame(spark, [{"id": "z", "name": "A", "type": "T", "confidence": 0.9}]))
+    nulls = F.when(F.col("id").isin("n1", "n2", "n3"), F.expr("map('a', cast(null as string), 'b', '\"x\"')")).otherwise(F.col("attributes"))
+    kg = KG(entities.withColumn("attributes", nulls), relationship_frame(spark, rels))
+    for least in (0.5, 0.95):
+        listed = conflicts.detect_conflicts(kg, least).groupBy("type", "severity").count().collect()
+        assert sorted(map(tuple, conflicts.conflict_counts(kg, least).collect())) == sorted(map(tuple, listed))
+        assert len(listed) == (3 if least == 0.5 else 0)
+    actions = conflicts.resolve_conflicts(kg)[0].groupBy("action_type").count().collect()
+    assert sorted(map(tuple, conflicts.action_counts(kg).collect())) == sorted(map(tuple, actions)) and len(actions) == 3
+
+
+def test_conflicts_of_one_name_are_counted_without_listing_pairs(spark):
+    # Twenty thousand million pairs.
+    rows = spark.range(200_000).select(
+        F.concat(F.lit("n"), "id").alias("id"), F.lit("A").alias("name"), F.lit("T").alias("entity_type"), F.lit(None).cast("string").alias("context"),
+        F.create_map(F.lit("k"), (F.col("id") % 4).cast("string")).alias("attributes"), F.create_map().cast("map<string,string>").alias("metadata"), F.lit(1.0).alias("confidence"), F.col("id").alias("ord"),
+    )
+    kg = KG(rows, relationship_frame(spark, []), unique=True)
+    assert conflicts.property_conflict_pairs(kg).first()["n"] == 6 * 50_000**2
