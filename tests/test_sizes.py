@@ -7,7 +7,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from graphwright.operators import conflicts
+from graphwright.operators import conflicts, metrics
 from graphwright.operators.graph import KG
 from graphwright.plans import testgraph
 from graphwright.schema import entity_frame, relationship_frame
@@ -79,3 +79,18 @@ def test_conflicts_of_one_name_are_counted_without_listing_pairs(spark):
     )
     kg = KG(rows, relationship_frame(spark, []), unique=True)
     assert conflicts.property_conflict_pairs(kg).first()["n"] == 6 * 50_000**2
+
+
+def test_arcs_are_the_ends_of_edges_without_a_window_and_first_steps_are_not_joined_with_all_levels(spark):
+    some = random.Random(4)
+    rels = [{"id": f"r{i}", "source": f"n{some.randrange(20)}", "target": f"n{some.randrange(20)}", "type": "t", "bidirectional": i % 3 == 0, "ord": i} for i in range(40)]
+    kg = KG(entity_frame(spark, [{"id": f"n{i}", "name": f"n{i}", "type": "T", "ord": i} for i in range(22)]), relationship_frame(spark, rels))
+    pairs = {(r.s, r.t) for r in kg.edges.select("s", "t").collect()}
+    assert sorted(map(tuple, kg.arcs.collect())) == sorted(pairs) and "Window" not in kg.arcs._jdf.queryExecution().executedPlan().toString()
+    hops = {(f"n{i}", f"n{i}"): 0 for i in range(22)}
+    for n in range(1, 22):
+        for (a, b), k in list(hops.items()):
+            for s, t in pairs if k == n - 1 else ():
+                if s == b:
+                    hops.setdefault((a, t), n)
+    assert {(r.source, r.id): r.hops for r in metrics.distances(kg).collect()} == hops
