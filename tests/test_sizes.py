@@ -7,7 +7,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from graphwright.operators import conflicts, metrics
+from graphwright.operators import conflicts, metrics, traverse
 from graphwright.operators.graph import KG
 from graphwright.plans import testgraph
 from graphwright.schema import entity_frame, relationship_frame
@@ -94,3 +94,11 @@ def test_arcs_are_the_ends_of_edges_without_a_window_and_first_steps_are_not_joi
                 if s == b:
                     hops.setdefault((a, t), n)
     assert {(r.source, r.id): r.hops for r in metrics.distances(kg).collect()} == hops
+
+
+def test_cycles_are_sought_only_where_a_way_leads_back(spark, monkeypatch):
+    rows = [("k", f"c{i:03}", "hub") for i in range(100)] + [("k", "hub", "top"), ("k", "top", "hub"), ("k", "top", "out"), ("q", "hub", "c001")]
+    seen, plain = [], traverse.find_cycles
+    monkeypatch.setattr(traverse, "find_cycles", lambda edges, *more: seen.append(edges.count()) or plain(edges, *more))
+    found = traverse.all_cycles(spark.createDataFrame(rows, "kind string, s string, t string"), 4).collect()
+    assert [(r.kind, r.start, r.nodes, r.length) for r in found] == [("k", "hub", ["hub", "top"], 2)] and seen == [2]
