@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphwright.operators import conflicts
+from graphwright.operators import conflicts, coref
 from graphwright.operators.graph import KG
 from graphwright.plans import registry, testgraph
 from graphwright.schema import entity_frame, relationship_frame
@@ -33,8 +33,18 @@ def test_conflicts_of_units_are_all_pairs_that_differ(spark, monkeypatch):
     assert len(wanted) > 500 and sorted(map(tuple, got)) == sorted(wanted)
 
 
-@pytest.mark.parametrize("name", ["conflict_property"])
+@pytest.mark.parametrize("name", ["conflict_property", "coref_groups"])
 def test_queries_of_entities_build_no_relationships(spark, monkeypatch, name):
     monkeypatch.setattr(testgraph, "_LOADED", {})
     monkeypatch.setattr(testgraph, "_build_relationships", lambda *_: pytest.fail("built"))
     registry.queries()[name](spark, "/root/testdata/sf0.001")
+
+
+def test_groups_without_merging_are_those_of_resolving(spark):
+    some = random.Random(9)
+    rows = [{"id": f"e{i:02}", "name": some.choice(["anna lee", "ana lee", "bob", "bobb", "x"]), "type": some.choice("PQ"), "confidence": some.choice([0.5, 0.9]), "ord": i} for i in range(30)]
+    kg = KG(entity_frame(spark, rows), relationship_frame(spark, []))
+    whole = coref.resolve(kg)[1]
+    assert coref.resolved_groups(kg).columns == whole.columns and sorted(map(str, coref.resolved_groups(kg).collect())) == sorted(map(str, whole.collect()))
+    names = spark.createDataFrame([("abc", None), (None, "abc"), ("", ""), ("abc", "abd")], "a string, b string")
+    assert [r[0] for r in names.select(coref.name_ratio(F.col("a"), F.col("b"))).collect()] == [None, None, 1.0, 4 / 6]
