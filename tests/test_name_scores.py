@@ -51,3 +51,24 @@ def test_queries_of_entities_build_no_relationships(spark, monkeypatch, name):
     monkeypatch.setattr(testgraph, "_LOADED", {})
     monkeypatch.setattr(testgraph, "_build_relationships", lambda *_: pytest.fail("built"))
     registry.queries()[name](spark, "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("measure", ["ratio", "edit"])
+def test_rows_of_scores_are_small_and_listed_without_a_join(spark, monkeypatch, measure):
+    monkeypatch.setattr(coref, "RIGHTS", 7)
+    monkeypatch.setattr(coref, "BLOCK", 16)
+    # Alike names meet in company, words only where they are similar.
+    names = [f"Customer#{i:05}" for i in range(40)] + ["tide", "diet", "tied", "lee"] * 5
+    rows = [{"id": f"e{i:03}", "name": n, "type": "P", "ord": i * 37 % 61} for i, n in enumerate(names)]
+    entities = entity_frame(spark, rows)
+    sizes = [(len(r.ids2), len(r.lefts), {len(x.k) for x in r.lefts}) for r in coref._block_scores(coref._unit_blocks(entities), 0.7, measure, 6).collect()]
+    assert max(s[0] for s in sizes) == 7 and max(s[1] for s in sizes) == coref.LEFTS and all(s[2] == {s[0]} for s in sizes)
+    rows.sort(key=lambda r: (r["ord"], r["id"]))
+    low = [r["name"].lower() for r in rows]
+    wanted = {(a["id"], b["id"]) for i, a in enumerate(rows) for j, b in enumerate(rows[i + 1 :], i + 1) if _similarity(measure, low[i], low[j]) >= 0.7}
+    found = coref.similar_pairs(entities, 0.7, measure)
+    got = found.collect()
+    assert len(got) == len(wanted) and {(r.id1, r.id2) for r in got} == wanted
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # All that follows the scores is the listing of their pairs.
+    assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")] and "Join" not in plan[: plan.index("FlatMapGroupsInArrow")]
