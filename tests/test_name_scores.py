@@ -72,3 +72,17 @@ def test_rows_of_scores_are_small_and_listed_without_a_join(spark, monkeypatch,
     plan = found._jdf.queryExecution().executedPlan().toString()
     # All that follows the scores is the listing of their pairs.
     assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")] and "Join" not in plan[: plan.index("FlatMapGroupsInArrow")]
+
+
+@pytest.mark.parametrize("longest", [3, 8, 9, 33, 64, 65, 90])
+@pytest.mark.parametrize("alphabet", ["ab", "0123456789", "é漢x\U0001f600"])
+def test_edits_of_short_texts_are_counted_in_bits(monkeypatch, alphabet, longest):
+    some, taken = random.Random(7), []
+    rows = name_scores._edits_in_rows
+    monkeypatch.setattr(name_scores, "_edits_in_rows", lambda *x: taken.append(len(x[4])) or rows(*x))
+    left, right = ([start + "".join(some.choices(alphabet, k=some.choice([longest, some.randrange(longest + 1)]))) for start in "xyz" * 3] for _ in range(2))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(9), np.arange(9), indexing="ij"))
+    assert name_scores.edits(left, right, i, j).tolist() == [_edits(left[x], right[y]) for x, y in zip(i, j, strict=True)]
+    assert sum(taken) == sum(len(left[x]) > 64 for x in i)
+    monkeypatch.setattr(name_scores, "TABLE", 0)
+    assert name_scores.edits(left, right, i, j).tolist() == [_edits(left[x], right[y]) for x, y in zip(i, j, strict=True)]
