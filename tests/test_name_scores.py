@@ -86,3 +86,21 @@ def test_edits_of_short_texts_are_counted_in_bits(monkeypatch, alphabet, longest
     assert sum(taken) == sum(len(left[x]) > 64 for x in i)
     monkeypatch.setattr(name_scores, "TABLE", 0)
     assert name_scores.edits(left, right, i, j).tolist() == [_edits(left[x], right[y]) for x, y in zip(i, j, strict=True)]
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "0123456789", "é漢x\U0001f600"])
+@pytest.mark.parametrize("start", ["", "aaaa", "customer#0000"])
+def test_matches_of_short_texts_are_scored_once_for_equal_places(monkeypatch, alphabet, start):
+    some, scored = random.Random(8), []
+    plain = name_scores._longest_first
+    monkeypatch.setattr(name_scores, "BATCH", 100)
+    monkeypatch.setattr(name_scores, "_KNOWN", {})
+    monkeypatch.setattr(name_scores, "_longest_first", lambda a, *x: scored.append(a.shape[1]) or plain(a, *x))
+    left, right = ([start + "".join(some.choices(alphabet, k=some.choice([5, some.randrange(6)]))) for _ in range(40)] for _ in range(2))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40), indexing="ij"))
+    wanted = [sum(m.size for m in SequenceMatcher(None, left[x], right[y]).get_matching_blocks()) for x, y in zip(i, j, strict=True)]
+    for _ in range(2):
+        assert name_scores.matches(left, right, i, j).tolist() == wanted
+    # Texts of nine and more characters have too many places.
+    if start != "aaaa":
+        assert sum(scored) < 1600
